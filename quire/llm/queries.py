@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import languages, packing
+from quire.llm import languages, packing, simhash
 from quire.llm.shared import read_table, vocabulary
 
 
@@ -18,8 +19,14 @@ def op8_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read_table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, folder, "documents"))
+    hexadecimal = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return found.select("doc_id", hexadecimal, "n_near", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op8_harmonic_packing)}
+    return {f.__name__: f for f in (op2_language_id, op8_harmonic_packing, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -98,3 +98,21 @@ def blobs(array: pa.Array) -> list[bytes]:
 
 def longs(array: pa.Array) -> list[int | None]:
     return array.to_pylist()
+
+
+def materialise(frame, label: str):
+    """Writes a table to the shared folder and reads it back, which cuts the lineage and survives lost executors."""
+    spark = frame.sparkSession
+    path = shared_path(spark, label)
+    frame.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def small_enough(frame, rows: int) -> bool:
+    """Whether a table has at most so many rows; counts no more than needed to tell."""
+    return frame.limit(rows + 1).count() <= rows
+
+
+def joined(left, right, on, how: str, broadcast_rows: int = 100_000):
+    """Joins with ``right`` broadcast if it is proven to have few rows, else by shuffle, which AQE splits at hot keys."""
+    return left.join(F.broadcast(right) if small_enough(right, broadcast_rows) else right, on, how)
