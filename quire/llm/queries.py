@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import languages, packing, simhash
+from quire.llm import languages, packing, simhash, substrings
 from quire.llm.shared import read_table, vocabulary
 
 
@@ -19,6 +19,11 @@ def op8_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read_table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substrings.remove_repeats(read_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, folder, "documents"))
     hexadecimal = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
@@ -26,7 +31,7 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op8_harmonic_packing, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op2_language_id, op8_harmonic_packing, op9_substring_dedup, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
