@@ -244,3 +244,34 @@ def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Iterato
 def identify(docs: DataFrame, rows_per_language: int = 500, **options) -> DataFrame:
     """Trains on ``docs`` and predicts all of it."""
     return predict(docs, fit(training_rows(docs, rows_per_language), **options))
+
+
+def keep_recognised(docs: DataFrame, rows_per_language: int = 500, **options) -> DataFrame:
+    """The rows of ``docs`` whose language the model trained on them recognises, with all their columns.
+
+    Rejected are texts that are null or have no letter, and those with a calibrated probability below the threshold.  A null
+    ``lang`` becomes the language found.  Without labelled rows there is no model, and only texts without a letter go.
+    """
+    model = fit(training_rows(docs, rows_per_language), **options)
+    fields, lettered = docs.schema.fields, F.col("text").rlike("\\p{L}")
+    if not model.languages:
+        return docs.filter(lettered)
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                lang, rejected = _judged(part.column("text"), model)
+                columns = [part.column(f.name) for f in fields]
+                at = next(k for k, f in enumerate(fields) if f.name == "lang")
+                columns[at] = pc.coalesce(columns[at], lang)
+                yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields]).filter(pc.invert(rejected))
+
+    return docs.filter(lettered).mapInArrow(run, schema)
+
+
+def _judged(text: pa.Array, model: LanguageModel) -> tuple[pa.Array, pa.Array]:
+    texts = [x.encode() for x in pc.fill_null(pc.utf8_lower(text), "").to_pylist()]
+    p = softmax(logits(model, texts) / model.temperature)
+    lang = pa.array(model.languages, pa.string()).take(pa.array(p.argmax(axis=1)))
+    return lang, pa.array(p.max(axis=1) < model.threshold)

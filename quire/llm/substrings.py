@@ -376,3 +376,30 @@ def remove_repeats(docs: DataFrame, length: int = 13, run: int = 3) -> DataFrame
     found = with_ranges(docs.select("doc_id", "text"), length, run)
     found = found.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "ranges")
     return found.mapInArrow(lambda b: _finish(b, length), "doc_id bigint, n_words bigint, n_removed bigint, kept binary")
+
+
+def cut_repeats(docs: DataFrame, length: int = 13, run: int = 3) -> DataFrame:
+    """``docs`` without the words that ``remove_repeats`` would remove, with all columns.
+
+    A text that loses words becomes its kept words joined by one space, and ``n_chars``, if there is one, its length; any
+    other text stays as it is.  Rows of which no word is left go; rows without words from the start stay.
+    """
+    found = with_ranges(docs, length, run)
+    cut = found.filter("ranges is not null").select(*docs.columns, "ranges")
+    names, schema = docs.columns, docs.schema
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                texts = []
+                for text, ranges in zip(blobs(part.column("text")), part.column("ranges").to_pylist()):
+                    words = text.split()
+                    kept = kept_words(words, [r["start"] for r in ranges], [r["n"] for r in ranges], length)
+                    texts.append(b" ".join(kept).decode())
+                columns = {n: part.column(n) for n in names} | {"text": pa.array(texts, pa.string())}
+                if "n_chars" in columns:
+                    columns["n_chars"] = pa.array([len(t) for t in texts], part.column("n_chars").type)
+                whole = pa.RecordBatch.from_arrays(list(columns.values()), names)
+                yield whole.filter(pa.array([bool(t) for t in texts], pa.bool_()))
+
+    return found.filter("ranges is null").select(*names).unionAll(cut.mapInArrow(shorten, schema))
