@@ -7,8 +7,8 @@ the pairs still to come can add to a score is bounded from the norms of what is
 vectors can be among a query's best, processing stops, and these possible members are scored exactly.  If no proof comes,
 all segments are processed and every score is exact.
 
-Blocks of vectors meet blocks of queries by an equi-join on the query block's number.  Only a block's best k of each
-query leave a task.
+Blocks of vectors meet blocks of queries by an equi-join on the query block's number and a slice of the vectors, so that
+the work spreads over as many tasks as there are pairs of blocks.  Only a block's best k of each query leave a task.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ BLOCK, QUERY_BLOCK, AT_ONCE = 8192, 4096, 128
 LEVELS = (1.0, 0.5, 0.3, 0.15)
 #: Share of a block that may be left as possible members when processing stops.
 FEW = 0.02
+#: Tasks of the join at most.
+MOST_TASKS = 20_000
 
 
 class ImpactIndex:
@@ -164,8 +166,13 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, scale: int = 64)
         .groupBy("part", F.size("vector").alias("dimension"))
         .applyInArrow(_pack_part, "part int, dimension int, query_ids binary, query_block binary")
     )
-    sent = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    met = sent.join(packed, ["part", "dimension"]).drop("part")
+    slices = max(1, -(-rows.count() // BLOCK))
+    tasks = min(query_blocks * slices, MOST_TASKS)
+    sent = blocks.withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int"))
+    sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    asking = packed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    keys = ["part", "slice", "dimension"]
+    met = sent.repartition(tasks, *keys).join(asking.repartition(tasks, *keys), keys).drop("part", "slice")
     best = met.mapInArrow(lambda b: _meet(b, k), RESULT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
