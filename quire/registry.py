@@ -22,9 +22,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    from quire.plans import queries  # noqa: F401  registers
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_oracles)
