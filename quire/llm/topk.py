@@ -55,27 +55,26 @@ class ImpactIndex:
         for m, n in order:
             rest += np.outer(query_norms[m], self.norms[n]).astype(np.float32)
         own = ids[:, None] == self.ids[None, :]
-        wanted = min(k, len(self.ids) - 1)
         for step, (m, n) in enumerate(order):
             scores += parts[m] @ self.segments[n].T
             if step + 1 == len(order):
                 break
             rest -= np.outer(query_norms[m], self.norms[n]).astype(np.float32)
-            if step < 2 or wanted < 1:
+            if step < 2 or len(self.ids) <= k:
                 continue
             slack = rest * np.float32(1.0001) + np.float32(0.5)  # for rounding
             low = np.where(own, -np.inf, scores - slack)
-            kth = np.partition(low, low.shape[1] - wanted, axis=1)[:, low.shape[1] - wanted]
+            kth = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
             possible = (scores + slack >= kth[:, None]) & ~own
             if possible.mean() <= FEW:
                 q, v = np.nonzero(possible)
                 exact = np.einsum("ij,ij->i", queries[q].astype(np.int64), self.vectors[v].astype(np.int64))
                 return self._best(q, v, exact, len(queries), k)
-        if wanted < 1:
+        if len(self.ids) <= k:
             q, v = np.nonzero(~own)
         else:
             low = np.where(own, -np.inf, scores)
-            kth = np.partition(low, low.shape[1] - wanted, axis=1)[:, low.shape[1] - wanted]
+            kth = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
             q, v = np.nonzero((low >= kth[:, None]) & ~own)
         return self._best(q, v, scores[q, v].astype(np.int64), len(queries), k)
 

@@ -206,6 +206,17 @@ def test_top_k(spark):
     assert topk.search(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", range(1, 24))
+def test_small_block_without_the_query_gives_all(n):
+    rng = np.random.default_rng(n)
+    vectors = rng.integers(-50, 50, (n, 6)).astype(np.int32)
+    asked = rng.integers(-50, 50, (2, 6)).astype(np.int32)
+    q, v, s = topk.ImpactIndex(np.arange(n), vectors).search(np.array([0, 1000]), asked, 20)
+    for k, own in enumerate((0, 1000)):
+        want = sorted((-int(asked[k] @ vectors[i]), i) for i in range(n) if i != own)[:20]
+        assert list(zip((-s[q == k]).tolist(), v[q == k].tolist())) == want
+
+
 def test_index_stops_early_and_stays_exact():
     rng = np.random.default_rng(9)
     centres = rng.normal(0, 20, (10, 32))
