@@ -7,29 +7,47 @@ that a model of the reference spends on the document (its cross-entropy); taking
 ``c' log2(c') / n``, where ``c'`` counts the phrases of its incremental parsing, leaves the relative entropy.  Both are
 divided by the document's length, so long and short documents compare.
 
-The whole reference takes part.  It is cut into blocks of bounded size, so that an automaton fits a worker at any size of
-the corpus, and every document meets one block, picked by a hash: the reference grows with the corpus, the work for a
-document doesn't.  Reference texts are hashed into two folds by their content and a document meets a block of the other
-fold, so no text is ever scored against itself or an exact copy.
+The whole reference takes part: every document is parsed against all reference texts but exact copies of its own, so no
+text is ever scored against itself and equal texts score equally.
+
+The longest match at each word is found for all documents at once, by doubling.  A word whose match is known to have
+``m`` words asks whether the run of ``2 m`` words that starts there occurs in another reference text; when no run is met
+any more, the lengths in between are settled from the largest power of two down.  Runs travel as 64-bit hashes to a part
+picked by the hash; asking and supplying sides meet there, and both learn what was met, so only runs that some text shares
+go on.  Different runs count as equal if their hashes clash, which for ``a`` runs asked and ``s`` supplied in a round has a
+chance of about ``a s / 2^64``.  Documents travel in chunks that stay where they are between rounds.
 """
 
 from __future__ import annotations
 
+import gc
 import math
+import os
+import pickle
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark.join import python_cogroup
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import blobs, slices
+from quire.llm.shared import blobs, materialise, shared_path, slices
 
 SCORES = (
     "doc_id bigint, n_words bigint, n_phrases bigint, own_phrases bigint, reference_words bigint, cross_bits double, "
     "score double"
 )
-#: Reference bytes of one automaton (a word costs some 500 bytes), and characters of one reference piece.
-BLOCK_BYTES, PIECE_CHARS = 1 << 20, 1 << 18
+CHUNKS = "chunk bigint, packed binary, keys array<bigint>, good array<boolean>, counts array<bigint>"
+#: Text bytes of one chunk of documents, and of the chunks whose runs one part is planned for.
+BLOCK_BYTES, PART_BYTES = 1 << 20, 16 << 20
+#: Has no effect: texts aren't cut.
+PIECE_CHARS = 1 << 18
+#: Base of the rolling hash and its inverse, modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def suffix_automaton(words: Iterable) -> list[dict]:
@@ -95,71 +113,242 @@ def own_phrases(words: list) -> int:
     return phrases + (row is not start)
 
 
-def rates(words: list, moves: list[dict], reference_words: int) -> tuple:
+def rates(n: int, crossed: int, own: int, reference_words: int) -> tuple:
     """(n_words, n_phrases, own_phrases, reference_words, cross_bits, score)."""
-    n = len(words)
     if not n:
         return 0, 0, 0, reference_words, None, None
-    crossed, own = cross_phrases(moves, words), own_phrases(words)
     bits = crossed * math.log2(max(2, reference_words)) / n
     return n, crossed, own, reference_words, bits, bits - own * math.log2(own) / n
 
 
-def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in SCORES.split(", ")]
-    kinds = [pa.int64()] * 5 + [pa.float64()] * 2
-    block, reference, size, moves = None, [], 0, None
+def _pressed(*values) -> bytes:
+    return zstandard.compress(pickle.dumps(values, 5), 1)
+
+
+def _plain(data: bytes):
+    return pickle.loads(zstandard.decompress(data))
+
+
+def _pack(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Chunks of rows: ids, words and own phrases of each, the hashes of the distinct words, and the words as their places."""
     for batch in batches:
-        for part in slices(batch, "text", 2 << 20):
-            out = []
-            columns = (part.column(c).to_pylist() for c in ("block", "of_reference", "doc_id"))
-            for at, of_reference, doc_id, text in zip(*columns, blobs(part.column("text"))):
-                if at != block:
-                    block, reference, size, moves = at, [], 0, None
-                if of_reference:
-                    words = text.split()
-                    size += len(words)
-                    reference += words
-                    reference.append(None)  # no run goes from one text to the next
-                    continue
-                if moves is None:
-                    moves, reference = suffix_automaton(reference), []
-                out.append((doc_id, *rates(text.split(), moves, size)))
-            columns = list(zip(*out)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        for part in slices(batch, "text", limit):
+            places: dict[bytes, int] = {}
+            counts, own, words = [], [], []
+            for text in blobs(part.column("text")):
+                found = [places.setdefault(w, len(places)) for w in text.split()]
+                counts.append(len(found))
+                own.append(own_phrases(found))
+                words.append(np.array(found, np.uint32))
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, places), np.uint64, len(places))
+            ids = part.column("doc_id").to_pylist()
+            packed = _pressed(ids, np.array(counts, np.int64), own, hashes, np.concatenate(words))
+            row = {
+                "chunk": int.from_bytes(os.urandom(8), "big", signed=True),
+                "packed": packed,
+                "keys": part.column("key").to_pylist(),
+                "good": part.column("of_reference").to_pylist(),
+                "counts": counts,
+            }
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), kinds)], list(row))
+
+
+def _state(lengths: np.ndarray, places: np.ndarray, sizes: np.ndarray, known: np.ndarray) -> bytes:
+    order = np.lexsort([places, sizes])
+    steps = np.diff(places[order], prepend=0)  # these compress well
+    return _pressed(lengths.astype(np.int32), steps.astype(np.int32), sizes[order].astype(np.int32), known)
+
+
+def _read_state(state: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The known match length at each word; place and length of the runs that are supplied; which texts are in the reference."""
+    lengths, steps, sizes, known = _plain(state)
+    return lengths.astype(np.int64), np.cumsum(steps, dtype=np.int64), sizes.astype(np.int64), known
+
+
+class _Runs:
+    """The runs of a chunk that a round asks for and supplies, as sorted distinct hashes."""
+
+    def __init__(self, static: bytes, state: bytes, step: int, rising: bool) -> None:
+        self.ids, counts, self.own, hashes, words = _plain(static)
+        self.lengths, places, sizes, self.known = _read_state(state)
+        n = len(words)
+        self.text = np.repeat(np.arange(len(counts)), counts)
+        ends = np.repeat(np.cumsum(counts), counts)
+        powers, back = np.full(n + 1, BASE, np.uint64), np.full(n + 1, INVERSE, np.uint64)
+        powers[0] = back[0] = 1
+        powers, back = np.cumprod(powers), np.cumprod(back)  # modulo 2^64
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes[words] * powers[:n], dtype=np.uint64)])
+
+        def goes_on(at, size):
+            return ((size == step) if rising else (size >= 2 * step)) & (at + size + step <= ends[at])
+
+        def runs(at, size):
+            h = (sums[at + size] - sums[at]) * back[at] + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+            return h ^ (h >> np.uint64(29))
+
+        self.states = places, sizes
+        every = np.arange(n)
+        self.asks = every[goes_on(every, self.lengths)]
+        on = goes_on(places, sizes)
+        self.places, self.sizes = places[on], sizes[on] + step
+        sent = [runs(self.asks, self.lengths[self.asks] + step), runs(self.places, self.sizes)]
+        self.hashes, at = np.unique(np.concatenate(sent), return_inverse=True)
+        self.of_asks, self.of_supplies = at[: len(self.asks)], at[len(self.asks) :]
+
+    def flags(self) -> np.ndarray:
+        """1 if asked for, plus 2 for each text that supplies the run, of which two count."""
+        texts = max(1, len(self.own))
+        pairs = np.unique(self.of_supplies * texts + self.text[self.places]) // texts
+        flags = 2 * np.minimum(np.bincount(pairs, minlength=len(self.hashes)), 2)
+        flags[self.of_asks] += flags[self.of_asks] % 2 == 0
+        return flags.astype(np.uint8)
+
+
+def _sent(chunk: int, static: bytes, state: bytes, step: int, rising: bool, parts: int) -> Iterator[tuple]:
+    runs = _Runs(static, state, step, rising)
+    flags = runs.flags()
+    part = ((runs.hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # rises with the hash
+    cuts = np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
+    for k in range(parts):
+        a, b = cuts[k], cuts[k + 1]
+        if a < b:
+            yield k, (chunk, runs.hashes[a:b].tobytes(), zstandard.compress(flags[a:b].tobytes(), 1))
+
+
+def _answers(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """What becomes of each run sent to this part: the texts that supply it (two at most), plus 4 if it is asked for."""
+    held: dict[int, list] = {}
+    for k, row in rows:
+        held.setdefault(k, []).append(row)
+    for k, sent in held.items():
+        hashes = np.concatenate([np.frombuffer(h, np.uint64) for _, h, _ in sent])
+        flags = np.concatenate([np.frombuffer(zstandard.decompress(f), np.uint8) for *_, f in sent])
+        found, at = np.unique(hashes, return_inverse=True)
+        texts = np.minimum(np.bincount(at, flags >> 1, len(found)), 2).astype(np.uint8)
+        asked = np.bincount(at, flags & 1, len(found)) > 0
+        answer, start = (texts + 4 * asked.astype(np.uint8))[at], 0
+        for chunk, h, _ in sent:
+            stop = start + len(h) // 8
+            yield chunk, (k, zstandard.compress(answer[start:stop].tobytes(), 1))
+            start = stop
+
+
+def _learnt(static: bytes, state: bytes, answers: list, step: int, rising: bool) -> tuple[bytes, int]:
+    """The state after a round, and how many words learnt of a longer match.  A run that one text alone supplies isn't met by that text, whose own it is."""
+    runs = _Runs(static, state, step, rising)
+    answer = np.frombuffer(b"".join(zstandard.decompress(a) for _, a in sorted(answers)), np.uint8)
+    texts, asked = answer & 3, answer >> 2 > 0
+    theirs = texts[runs.of_asks]
+    met = (theirs == 2) | ((theirs == 1) & ~runs.known[runs.text[runs.asks]])
+    runs.lengths[runs.asks[met]] += step
+    more = asked[runs.of_supplies]
+    places, sizes = runs.states
+    old = sizes > 1  # single words are done with after the first round
+    places = np.concatenate([places[old], runs.places[more]])
+    sizes = np.concatenate([sizes[old], runs.sizes[more]])
+    return _state(runs.lengths, places, sizes, runs.known), int(met.sum())
+
+
+def _first_state(static: bytes, flags: list) -> bytes:
+    counts = _plain(static)[1]
+    text = np.repeat(np.arange(len(counts)), counts)
+    known = np.zeros(len(counts), bool)
+    supplies = np.zeros(len(counts), bool)
+    for at, supplying in flags:
+        known[at], supplies[at] = True, supplying
+    places = np.flatnonzero(supplies[text])
+    return _state(np.ones(len(text), np.int64), places, np.ones(len(places), np.int64), known)
+
+
+def _rows(static: bytes, state: bytes, reference_words: int) -> Iterator[tuple]:
+    ids, counts, own, *_ = _plain(static)
+    lengths, _, _, known = _read_state(state)
+    start = 0
+    for doc_id, n, phrases, mine in zip(ids, counts.tolist(), own, known.tolist()):
+        steps, at, crossed = lengths[start : start + n].tolist(), 0, 0
+        while at < n:
+            at += steps[at]
+            crossed += 1
+        start += n
+        yield doc_id, *rates(n, crossed, phrases, reference_words - n * mine)
 
 
 def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, piece_chars: int = PIECE_CHARS) -> DataFrame:
     """Scores every row of ``docs`` (doc_id, text, in_reference) against all texts whose ``in_reference`` is true.
 
-    Returns doc_id, n_words, n_phrases, own_phrases, reference_words (of the block met), cross_bits and score, both in
-    bits a word; low: like the reference.  Words are ``[^\\x20\\x09-\\x0D]+``.
+    Returns doc_id, n_words, n_phrases, own_phrases, reference_words (of the distinct reference texts other than the row's),
+    cross_bits and score, both in bits a word; low: like the reference.  Words are ``[^\\x20\\x09-\\x0D]+``.
 
     Null and empty texts have no words and null scores; null ``in_reference`` counts as false.  Null and repeated doc_ids
-    are scored row by row, equal rows equally.  Without reference every word is a phrase.  An empty table gives no rows.
-    Very long reference texts enter in pieces, spread over the blocks.  Other columns are ignored.
+    are scored row by row, equal texts equally.  Without reference every word is a phrase.  An empty table gives no rows.
+    ``block_bytes`` sizes the chunks and doesn't change the result; ``piece_chars`` has no effect.  Other columns are ignored.
     """
+    spark = docs.sparkSession
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         "text",
         F.coalesce("in_reference", F.lit(False)).alias("of_reference"),
-        F.xxhash64("text").bitwiseAND(1).alias("fold"),
+        F.xxhash64("text").alias("key"),
+        F.octet_length("text").alias("size"),
     )
-    texts = rows.filter("of_reference")
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // (2 * block_bytes)))
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    parts = max(1, -(-total // PART_BYTES))
+    chunks = materialise(rows.drop("size").mapInArrow(lambda b: _pack(b, block_bytes), CHUNKS), "crossparse")
+    each = chunks.select("chunk", F.posexplode(F.arrays_zip("keys", "good", "counts")).alias("at", "x"))
+    each = each.select("chunk", "at", "x.keys", "x.good", "x.counts")
+    good = each.filter("good").groupBy("keys").agg(F.min(F.struct("chunk", "at")).alias("first"), F.max("counts").alias("n"))
+    reference_words = good.agg(F.sum("n")).first()[0] or 0
+    known = each.join(good, "keys").select("chunk", "at", (F.struct("chunk", "at") == F.col("first")).alias("supplies"))
 
-    def placed(frame: DataFrame, fold, *by) -> DataFrame:
-        block = fold * F.lit(blocks) + F.pmod(F.xxhash64(*by), F.lit(blocks))
-        return frame.select(block.alias("block"), "of_reference", "doc_id", "text")
+    def placed(rdd):
+        return rdd.partitionBy(parts)
 
-    long = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(piece_chars)),
-        lambda start: F.substring(F.col("text"), start, F.lit(piece_chars)),
-    )
-    pieces = F.when(F.length("text") > piece_chars, long).otherwise(F.array("text"))
-    texts = texts.select("of_reference", "doc_id", "fold", F.explode(pieces).alias("text"))
-    scored = rows.withColumn("of_reference", F.lit(False))
-    met = placed(texts, F.col("fold"), "text", "doc_id").unionAll(placed(scored, 1 - F.col("fold"), "doc_id", "text"))
-    met = met.repartition("block").sortWithinPartitions("block", F.desc("of_reference"))
-    return met.mapInArrow(_score, SCORES)
+    def together(*rdds):
+        return python_cogroup(rdds, parts)  # moves none that is placed
+
+    static = placed(chunks.select("chunk", "packed").rdd.map(lambda r: (r[0], bytes(r[1]))))
+    flags = placed(known.rdd.map(lambda r: (r[0], (r[1], r[2]))))
+
+    def single(x):
+        return next(iter(x))
+
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    kept: list[str] = []
+
+    def written(found) -> tuple:
+        """The state (chunk, state, met) from its own files, so that the last round's files and shuffles can go."""
+        kept.append(shared_path(spark, "crossparse-state"))
+        spark.createDataFrame(found, "chunk bigint, state binary, met bigint").write.parquet(kept[-1])
+        if len(kept) > 1:
+            old = folder(kept.pop(0))
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        state = spark.read.schema("chunk bigint, state binary, met bigint").parquet(kept[-1])
+        met = state.agg(F.sum("met")).first()[0] or 0
+        return placed(state.select("chunk", "state").rdd.map(lambda r: (r[0], bytes(r[1])))), met
+
+    def round_of(state, step: int, rising: bool) -> tuple:
+        sent = together(static, state).flatMap(lambda x: _sent(x[0], single(x[1][0]), single(x[1][1]), step, rising, parts))
+        found = together(static, state, placed(placed(sent).mapPartitions(_answers)))
+        return written(found.map(lambda x: (x[0], *_learnt(*map(single, x[1][:2]), list(x[1][2]), step, rising))))
+
+    first = together(static, flags).map(lambda x: (x[0], _first_state(single(x[1][0]), list(x[1][1])), 0))
+    state, _ = written(first)
+    def freed() -> None:
+        """Shuffles of past rounds go when nothing refers to them any more."""
+        gc.collect()
+        spark._jvm.System.gc()
+
+    step, met = 1, 1
+    while met:
+        state, met = round_of(state, step, True)
+        freed()
+        step *= 2
+    step //= 4
+    while step:
+        state, _ = round_of(state, step, False)
+        freed()
+        step //= 2
+    out = together(static, state).flatMap(lambda x: _rows(single(x[1][0]), single(x[1][1]), reference_words))
+    return spark.createDataFrame(out, SCORES)

@@ -70,6 +70,23 @@ def test_cross_phrases_brute_force():
         assert crossparse.cross_phrases(moves, words) == brute(reference, words)
 
 
+@pytest.mark.parametrize("block_bytes", [64, 1 << 20])
+def test_cross_parsing_meets_the_whole_reference(spark, block_bytes):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abcde", k=rng.randrange(60))) for _ in range(60)]
+    texts += [texts[3], texts[4], texts[5] + " " + texts[6], "z " * 40 + texts[7], " ".join(texts[:30]), None]
+    rows = [(i, t, i % 3 == 0 or i == 64) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, in_reference boolean").repartition(3)
+    got = {r.doc_id: r for r in crossparse.score(table, block_bytes=block_bytes).collect()}
+    good = {t for _, t, g in rows if g}
+    for i, text, _ in rows:
+        others = [t.split() for t in good if t != text]
+        words = (text or "").split()
+        moves = crossparse.suffix_automaton(x for r in others for x in [*r, None])
+        want = (len(words), crossparse.cross_phrases(moves, words), sum(map(len, others)) if text else got[i].reference_words)
+        assert (got[i].n_words, got[i].n_phrases, got[i].reference_words) == want
+
+
 def test_language_held_out_accuracy(spark, nothing):
     found = queries.op2_language_id(spark, "/root/testdata/sf0.01")
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
