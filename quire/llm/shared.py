@@ -63,6 +63,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def fresh_names(taken, *labels: str) -> list[str]:
+    """Column names made from ``labels`` that none of ``taken`` equals, upper or lower case."""
+    known, found = {t.lower() for t in taken}, []
+    for label in labels:
+        name = f"_{label}"
+        while name.lower() in known:
+            name += "_"
+        known.add(name.lower())
+        found.append(name)
+    return found
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows whose strings in ``column`` have about ``limit`` bytes in all.
 

@@ -292,9 +292,10 @@ def brute_removed(rows, length=13):
     return sorted(out)
 
 
-@pytest.mark.parametrize("bucket_bytes", [substrings.BUCKET_BYTES, 400])
+@pytest.mark.parametrize("bucket_bytes", [substrings.BUCKET_BYTES, 4000, 400])
 def test_substrings_brute_force(docs, rows, nothing, bucket_bytes, monkeypatch):
-    monkeypatch.setattr(substrings.repeated_windows, "__defaults__", (13, 3, bucket_bytes))  # 400: hot minimisers too
+    # 4000 and 400: hot minimisers of one and both levels too
+    monkeypatch.setattr(substrings.repeated_windows, "__defaults__", (13, substrings.RUNS, bucket_bytes))
     got = substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("k")).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.k) for r in got) == brute_removed(rows)
     assert substrings.remove_repeats(nothing).count() == 0
