@@ -19,20 +19,16 @@ import hashlib
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import blobs, fresh_names, materialise, slices
+from quire.llm.shared import Words, blobs, fresh_names, materialise, scramble, slices
 
 NO_ID = (1 << 63) - 1
-#: Words that a worker's dictionary of word hashes may hold before it is emptied.
-LIMIT = 200_000
 #: Packed bytes that one bucket is planned for, and that a task holds before it writes its buckets out.
 BUCKET_BYTES, TASK_BYTES = 6 << 20, 12 << 20
 #: Words of the runs of the first and the second minimiser.
@@ -43,21 +39,6 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-class _WordHashes(dict):
-    """A scrambled 64-bit hash a word, for choosing minimisers."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word, 9)
-        if len(self) >= LIMIT:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-
-_hashes = _WordHashes()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     return x ^ (x >> np.uint64(27))
@@ -93,28 +74,23 @@ def span_hashes(codes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nd
     return (sums[stop] - sums[start]) * down[start]
 
 
-class Slice:
-    """The words of a few texts, one after the other, and their windows."""
+class Slice(Words):
+    """The words of a few texts and their windows."""
 
     def __init__(self, part: pa.RecordBatch, length: int) -> None:
+        super().__init__(blobs(part.column("text")))
         self.ids = part.column("doc_id").to_numpy(zero_copy_only=False)
         self.text_hashes = part.column("text_hash").to_numpy(zero_copy_only=False)
-        lists = [t.split() for t in blobs(part.column("text"))]
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.words = list(chain.from_iterable(lists))
-        n = len(self.words)
-        self.codes = np.fromiter(map(_hashes.__getitem__, self.words), np.uint64, n)
-        ends = np.cumsum(counts)
-        self.begin = ends - counts
-        self.row = np.repeat(np.arange(len(lists), dtype=np.int32), counts)
-        inside = np.arange(n) + length <= np.repeat(ends, counts)
+        self.row = self.rows()
+        self.word_hashes = self.hashes()
+        inside = np.arange(len(self)) + length <= np.repeat(self.stop, self.counts)
         #: First word of each window.
         self.windows = np.flatnonzero(inside)
 
     def keys(self, length: int, runs: tuple, hot: tuple) -> tuple[np.ndarray, np.ndarray]:
         """The key of each window and its level: 0, 1, ... by the minimiser used; the number of levels: as a row."""
         at = self.windows
-        keys, level = minimisers(self.codes, length, runs[0])[at], np.zeros(len(at), np.int8)
+        keys, level = minimisers(self.word_hashes, length, runs[0])[at], np.zeros(len(at), np.int8)
         for k, crowded in enumerate(hot):
             if not len(crowded):
                 break
@@ -123,7 +99,7 @@ class Slice:
             there = there[crowded[place] == keys[there]]
             level[there] = k + 1
             if k + 1 < len(runs) and len(there):
-                keys[there] = mix(minimisers(self.codes, length, runs[k + 1])[at[there]] + np.uint64(k + 1))
+                keys[there] = mix(minimisers(self.word_hashes, length, runs[k + 1])[at[there]] + np.uint64(k + 1))
         return keys, level
 
     def super_kmers(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,17 +156,14 @@ class _Packer:
     def add(self, part: Slice, first: np.ndarray, n: np.ndarray, keys: np.ndarray) -> None:
         word = part.windows[first]
         last = word + n + self.length - 2
-        line = b" ".join(part.words)
-        ends = np.cumsum(np.fromiter(map(len, part.words), np.int64, len(part.words)) + 1)
-        a = np.where(word > 0, ends[word - 1], 0)
-        b = ends[last] - 1
+        a, b, line = part.starts[word], part.starts[last] + part.sizes[last], part.line
         self.strings += [line[x:y] for x, y in zip(a.tolist(), b.tolist())]
         self.size += int((b - a).sum()) + 60 * len(a)
         row = part.row[word]
         self.parts.append(
             (
                 (keys % np.uint64(self.buckets)).astype(np.int64),
-                span_hashes(part.codes, word, last + 1),
+                span_hashes(part.word_hashes, word, last + 1),
                 part.ids[row],
                 part.text_hashes[row],
                 (word - part.begin[row]).astype(np.int32),
@@ -256,7 +229,7 @@ def first_documents(codes: np.ndarray, starts: np.ndarray, docs: np.ndarray, len
     Windows are sorted by a 64-bit hash and neighbours are compared word by word; should two different windows share a
     hash, the words themselves are sorted.
     """
-    scrambled = mix((codes.astype(np.uint64) + np.uint64(1)) * np.uint64(BASE))
+    scrambled = scramble(codes.astype(np.uint64) + np.uint64(1))
     h = scrambled[: len(codes) - length + 1].copy()
     for k in range(1, length):
         h *= np.uint64(BASE)
@@ -288,21 +261,18 @@ def first_documents(codes: np.ndarray, starts: np.ndarray, docs: np.ndarray, len
 
 def _count(packed: list[bytes], length: int) -> pa.Table:
     """All windows of one bucket: runs of windows of a document that also start in an earlier one."""
-    words: dict[bytes, int] = {b"\n": 0}
-    code_parts, of_blob = [], []
+    texts, of_blob = [], []
     for blob in packed:
         text, *rest = _unpack(blob)
-        separate = text.replace(b"\n", b" \n ").split(b" ")
-        code_parts.append(np.fromiter([words.setdefault(w, len(words)) for w in separate], np.int32, len(separate)))
-        code_parts.append(np.zeros(1, np.int32))
-        of_blob.append(rest)
-    del words
-    if not code_parts:
+        if text:
+            texts.append(text)
+            of_blob.append(rest)
+    if not texts:
         return _ranges([], [], [], [])
-    codes = np.concatenate(code_parts)
-    del code_parts
-    ends = np.flatnonzero(codes == 0)  # one behind each string
-    string_start = np.concatenate([[0], ends[:-1] + 1])
+    words = Words(texts := b"\n".join(texts).split(b"\n"))
+    del texts
+    codes, string_start, ends = words.codes()[0], words.begin, words.stop
+    del words
     windows = ends - string_start - length + 1
     counts, doc, text_hash, at = (np.concatenate(x) for x in zip(*of_blob))
     del of_blob
@@ -310,7 +280,7 @@ def _count(packed: list[bytes], length: int) -> pa.Table:
     firsts = np.concatenate([[0], np.cumsum(counts)[:-1]])
     least = np.minimum.reduceat(doc, firsts)
     begin = np.concatenate([[0], np.cumsum(windows)[:-1]])
-    starts = np.arange(int(windows.sum()), dtype=np.int32) - np.repeat((begin - string_start).astype(np.int32), windows)
+    starts = np.arange(int(windows.sum()), dtype=np.int32) + np.repeat((string_start - begin).astype(np.int32), windows)
     first = first_documents(codes, starts, np.repeat(least, windows), length)
     del codes, starts
     # a string matters only if some window of it has an earlier document than some occurrence
@@ -356,7 +326,8 @@ def _hot_windows(batches, length: int, runs: tuple, hot: tuple) -> Iterator[pa.R
     for part in _slices(batches, length, 1 << 19):
         _, level = part.keys(length, runs, hot)
         at = part.windows[level == len(runs)]
-        windows = [b" ".join(part.words[i : i + length]) for i in at.tolist()]
+        a, b = part.starts[at], part.starts[at + length - 1] + part.sizes[at + length - 1]
+        windows = [part.line[x:y] for x, y in zip(a.tolist(), b.tolist())]
         digests = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in windows])
         digests = np.frombuffer(digests, np.int64).reshape(-1, 2)
         row = part.row[at]
@@ -411,29 +382,31 @@ def repeated_windows(
     return ranges
 
 
-def kept_words(words: list[bytes], starts: list[int], sizes: list[int], length: int) -> list[bytes]:
-    """The words that no range of windows covers."""
+def kept_texts(texts: list[bytes], ranges: list, length: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """For each text the words that none of its ranges of windows covers, joined by one space; words, and words kept."""
+    words = Words(texts)
     change = np.zeros(len(words) + 1, np.int32)
-    np.add.at(change, np.asarray(starts, np.int64), 1)
-    np.add.at(change, np.asarray(starts, np.int64) + np.asarray(sizes, np.int64) + length - 1, -1)
-    return [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]
+    for begin, found in zip(words.begin.tolist(), ranges):
+        if found:
+            start = np.array([r["start"] for r in found], np.int64) + begin
+            np.add.at(change, start, 1)
+            np.add.at(change, start + np.array([r["n"] for r in found], np.int64) + length - 1, -1)
+    kept = np.cumsum(change[:-1]) == 0
+    line = np.frombuffer(words.line, np.uint8)[np.repeat(kept, words.sizes + 1)].tobytes()
+    sums = np.concatenate([[0], np.cumsum(np.where(kept, words.sizes + 1, 0))])
+    a, b = sums[words.begin], sums[words.stop]
+    number = np.concatenate([[0], np.cumsum(kept)])
+    out = [line[x : max(x, y - 1)] for x, y in zip(a.tolist(), b.tolist())]
+    return out, words.counts, number[words.stop] - number[words.begin]
 
 
 def _finish(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_words", "n_removed", "kept"]
     for batch in batches:
         for part in slices(batch, "text", 2 << 20):
-            out: list[tuple] = []
-            ids, texts = part.column("doc_id").to_pylist(), blobs(part.column("text"))
-            for d, text, ranges in zip(ids, texts, part.column("ranges").to_pylist()):
-                words = text.split()
-                kept = words
-                if ranges:
-                    kept = kept_words(words, [r["start"] for r in ranges], [r["n"] for r in ranges], length)
-                out.append((d, len(words), len(words) - len(kept), b" ".join(kept)))
-            columns = list(zip(*out)) or [()] * 4
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            kept, words, left = kept_texts(blobs(part.column("text")), part.column("ranges").to_pylist(), length)
+            columns = [part.column("doc_id"), pa.array(words), pa.array(words - left), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def with_ranges(docs: DataFrame, name: str, length: int = 13, runs: tuple = RUNS) -> DataFrame:
@@ -477,11 +450,8 @@ def cut_repeats(docs: DataFrame, length: int = 13, runs: tuple = RUNS) -> DataFr
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                texts = []
-                for text, ranges in zip(blobs(part.column("text")), part.column(ranges_).to_pylist()):
-                    words = text.split()
-                    kept = kept_words(words, [r["start"] for r in ranges], [r["n"] for r in ranges], length)
-                    texts.append(b" ".join(kept).decode())
+                found = part.column(ranges_).to_pylist()
+                texts = [t.decode() for t in kept_texts(blobs(part.column("text")), found, length)[0]]
                 columns = {n: part.column(n) for n in names} | {"text": pa.array(texts, pa.string())}
                 if "n_chars" in columns:
                     columns["n_chars"] = pa.array([len(t) for t in texts], part.column("n_chars").type)
