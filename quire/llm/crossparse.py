@@ -1,21 +1,26 @@
 """Language-model scoring by Ziv-Merhav cross-parsing.
 
 A document is factored greedily, from left to right, into the longest runs of words that occur somewhere in a reference
-text; a word that the reference lacks is a run of its own.  The longest matches come from a suffix automaton of the
-reference.  With ``c`` runs over ``n`` words and a reference of ``N`` words, ``c log2(N) / n`` estimates the bits a word
-that a model of the reference spends on the document (its cross-entropy); taking away the document's own rate
-``c' log2(c') / n``, where ``c'`` counts the phrases of its incremental parsing, leaves the relative entropy.  Both are
-divided by the document's length, so long and short documents compare.
-
-The whole reference takes part: every document is parsed against all reference texts but exact copies of its own, so no
-text is ever scored against itself and equal texts score equally.
-
-The longest match at each word is found for all documents at once, by doubling.  A word whose match is known to have
-``m`` words asks whether the run of ``2 m`` words that starts there occurs in another reference text; when no run is met
-any more, the lengths in between are settled from the largest power of two down.  Runs travel as 64-bit hashes to a part
-picked by the hash; asking and supplying sides meet there, and both learn what was met, so only runs that some text shares
-go on.  Different runs count as equal if their hashes clash, which for ``a`` runs asked and ``s`` supplied in a round has a
-chance of about ``a s / 2^64``.  Documents travel in chunks that stay where they are between rounds.
+text; a word that the reference lacks is a run of its own.  With ``c`` runs over ``n`` words and a reference of ``N``
+words, ``c log2(N) / n`` estimates the bits a word that a model of the reference spends on the document (its
+cross-entropy); taking away the document's own rate ``c' log2(c') / n``, where ``c'`` counts the phrases of its
+incremental parsing, leaves the relative entropy.  Both are divided by the document's length, so long and short documents
+compare.
+
+``score_against`` takes a reference of bounded size; its longest matches come from a suffix automaton in every worker.
+
+``score`` takes references of any size, rows of the table itself: a row is parsed against all other rows that are in the
+reference.  One automaton can't hold them, and automata of its parts would each have to meet every document.  The longest
+match at each word is therefore found for all documents at once, in rounds that each ask, for the words that it may still
+concern, whether the run of so many words that starts there occurs in another row.  Lengths are 2, 3, 4 and then doubled
+as long as runs are met; a run can only be met if its own runs of the length before are, and a match that is longer than 4
+words ends where runs of 4 are no longer met, which leaves few words to ask for.  The lengths in between are settled from
+the largest power of two down.
+
+Runs travel as 64-bit hashes, once a chunk of documents, to a part picked by the hash, where asking and supplying rows
+meet; both learn about it, so only runs that some row shares go on.  Different runs count as equal if their hashes clash,
+which for ``a`` runs asked and ``s`` supplied in a round has a chance of about ``a s / 2^64``.  Chunks and their states are
+tables bucketed by chunk, which stay where they are between rounds.
 """
 
 from __future__ import annotations
@@ -24,28 +29,32 @@ import gc
 import math
 import os
 import pickle
+import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
-from pyspark.join import python_cogroup
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import blobs, materialise, shared_path, slices
+from quire.llm.shared import Words, blobs, scramble, shared_path, slices
 
 SCORES = (
     "doc_id bigint, n_words bigint, n_phrases bigint, own_phrases bigint, reference_words bigint, cross_bits double, "
     "score double"
 )
-CHUNKS = "chunk bigint, packed binary, keys array<bigint>, good array<boolean>, counts array<bigint>"
+CHUNKS = "chunk bigint, packed binary, keys array<bigint>, others array<bigint>, good array<boolean>, counts array<bigint>"
+STATES = "chunk bigint, state binary, active bigint"
+SENT = "part bigint, chunk bigint, runs binary"
+ANSWERS = "receiver bigint, part bigint, answer binary"
 #: Text bytes of one chunk of documents, and of the chunks whose runs one part is planned for.
-BLOCK_BYTES, PART_BYTES = 1 << 20, 16 << 20
-#: Has no effect: texts aren't cut.
-PIECE_CHARS = 1 << 18
-#: Base of the rolling hash and its inverse, modulo 2^64.
+BLOCK_BYTES, PART_BYTES = 4 << 20, 8 << 20
+#: Text bytes of a reference that every worker may hold as an automaton.
+MOST_REFERENCE = 8 << 20
+#: From this length on runs are doubled.
+LONG = 4
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -129,161 +138,333 @@ def _plain(data: bytes):
     return pickle.loads(zstandard.decompress(data))
 
 
+def _halves(x: np.ndarray) -> tuple[bytes, bytes]:
+    """Numbers below 2^31 as their low and their high halves, which compress better."""
+    return x.astype("<u2").tobytes(), (x >> 16).astype("<u2").tobytes()
+
+
+def _numbers(halves: tuple[bytes, bytes]) -> np.ndarray:
+    low, high = (np.frombuffer(h, "<u2") for h in halves)
+    return low.astype(np.int32) | (high.astype(np.int32) << 16)
+
+
 def _pack(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Chunks of rows: ids, words and own phrases of each, the hashes of the distinct words, and the words as their places."""
+    """Chunks of rows: ids, words and own phrases of each, hashes of the distinct words, and the words as their numbers."""
     for batch in batches:
         for part in slices(batch, "text", limit):
-            places: dict[bytes, int] = {}
-            counts, own, words = [], [], []
-            for text in blobs(part.column("text")):
-                found = [places.setdefault(w, len(places)) for w in text.split()]
-                counts.append(len(found))
-                own.append(own_phrases(found))
-                words.append(np.array(found, np.uint32))
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, places), np.uint64, len(places))
+            words = Words(blobs(part.column("text")))
+            codes, distinct = words.codes()
+            hashes = np.zeros(distinct, np.uint64)
+            hashes[codes] = words.hashes()
+            listed, counts = codes.tolist(), words.counts
+            own = [own_phrases(listed[a:b]) for a, b in zip(words.begin.tolist(), words.stop.tolist())]
             ids = part.column("doc_id").to_pylist()
-            packed = _pressed(ids, np.array(counts, np.int64), own, hashes, np.concatenate(words))
             row = {
                 "chunk": int.from_bytes(os.urandom(8), "big", signed=True),
-                "packed": packed,
+                "packed": _pressed(ids, counts, own, hashes, _halves(codes)),
                 "keys": part.column("key").to_pylist(),
+                "others": part.column("other").to_pylist(),
                 "good": part.column("of_reference").to_pylist(),
-                "counts": counts,
+                "counts": counts.tolist(),
             }
-            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.binary(), *[pa.list_(t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64())]]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), kinds)], list(row))
 
 
-def _state(lengths: np.ndarray, places: np.ndarray, sizes: np.ndarray, known: np.ndarray) -> bytes:
-    order = np.lexsort([places, sizes])
-    steps = np.diff(places[order], prepend=0)  # these compress well
-    return _pressed(lengths.astype(np.int32), steps.astype(np.int32), sizes[order].astype(np.int32), known)
+@lru_cache(maxsize=1)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(1 << bits, BASE, np.uint64), np.full(1 << bits, INVERSE, np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)  # modulo 2^64
+
+
+def _stretch(flags: np.ndarray) -> np.ndarray:
+    """How many flags in a row are set from each place on."""
+    n = len(flags)
+    stop = np.where(flags, n, np.arange(n))
+    return np.minimum.accumulate(stop[::-1])[::-1] - np.arange(n)
 
 
-def _read_state(state: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The known match length at each word; place and length of the runs that are supplied; which texts are in the reference."""
-    lengths, steps, sizes, known = _plain(state)
-    return lengths.astype(np.int64), np.cumsum(steps, dtype=np.int64), sizes.astype(np.int64), known
+class State:
+    """What is known of a chunk: per row whether it asks and supplies; per word the longest run known to be met, whether the
+    last runs asked for were met and wanted, and bounds for longer ones; the runs (place, size) that are supplied later on."""
 
+    def __init__(self, data: bytes) -> None:
+        self.asks, self.supplies, lengths, met, wanted, bounds, places, sizes = _plain(data)
+        self.lengths = _numbers(lengths)
+        n = len(self.lengths)
+        self.met, self.wanted = (np.unpackbits(x, count=n).astype(bool) for x in (met, wanted))
+        self.bounds = []
+        for at, values in bounds:  # zero elsewhere
+            self.bounds.append(np.zeros(n, np.int32))
+            self.bounds[-1][_numbers(at)] = _numbers(values)
+        self.places, self.sizes = _numbers(places), _numbers(sizes)
 
-class _Runs:
-    """The runs of a chunk that a round asks for and supplies, as sorted distinct hashes."""
+    @staticmethod
+    def packed(asks, supplies, lengths, met, wanted, bounds, places, sizes) -> bytes:
+        sparse = []
+        for x in bounds:
+            at = np.flatnonzero(x)
+            sparse.append((_halves(at), _halves(x[at])))
+        bits = np.packbits(met), np.packbits(wanted)
+        return _pressed(asks, supplies, _halves(lengths), *bits, sparse, _halves(places), _halves(sizes))
 
-    def __init__(self, static: bytes, state: bytes, step: int, rising: bool) -> None:
-        self.ids, counts, self.own, hashes, words = _plain(static)
-        self.lengths, places, sizes, self.known = _read_state(state)
-        n = len(words)
-        self.text = np.repeat(np.arange(len(counts)), counts)
-        ends = np.repeat(np.cumsum(counts), counts)
-        powers, back = np.full(n + 1, BASE, np.uint64), np.full(n + 1, INVERSE, np.uint64)
-        powers[0] = back[0] = 1
-        powers, back = np.cumprod(powers), np.cumprod(back)  # modulo 2^64
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes[words] * powers[:n], dtype=np.uint64)])
+    def bytes(self) -> bytes:
+        kept = self.lengths, self.met, self.wanted, self.bounds, self.places, self.sizes
+        return State.packed(self.asks, self.supplies, *kept)
 
-        def goes_on(at, size):
-            return ((size == step) if rising else (size >= 2 * step)) & (at + size + step <= ends[at])
 
-        def runs(at, size):
-            h = (sums[at + size] - sums[at]) * back[at] + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-            return h ^ (h >> np.uint64(29))
+class Round:
+    """The runs that a chunk asks for and supplies in a round, as sorted distinct hashes.
 
-        self.states = places, sizes
-        every = np.arange(n)
-        self.asks = every[goes_on(every, self.lengths)]
-        on = goes_on(places, sizes)
-        self.places, self.sizes = places[on], sizes[on] + step
-        sent = [runs(self.asks, self.lengths[self.asks] + step), runs(self.places, self.sizes)]
-        self.hashes, at = np.unique(np.concatenate(sent), return_inverse=True)
-        self.of_asks, self.of_supplies = at[: len(self.asks)], at[len(self.asks) :]
+    Rounds are ("rise", length, length before), ("census", 0, 0), which asks who waits at the runs that are supplied, and
+    ("fall", step, 0).
+    """
+
+    def __init__(self, static: bytes, state: bytes, kind: str, size: int, before: int) -> None:
+        self.kind, self.size = kind, size
+        self.state = known = State(state)
+        _, counts, _, hashes, codes = _plain(static)
+        n = len(known.lengths)
+        self.row = row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        self.left = left = np.repeat(np.cumsum(counts), counts) - np.arange(n)  # words from here to the end
+        at = np.arange(n)
+        if kind == "rise":
+            on = left >= size
+            if before:
+                shifted = np.minimum(at + (size - before), n - 1)
+            met, wanted = known.asks[row] & on, known.supplies[row] & on
+            if before:
+                met &= known.met & known.met[shifted]
+                wanted &= known.wanted & known.wanted[shifted]
+            if known.bounds:
+                met &= known.bounds[0] >= size
+                wanted &= known.bounds[1] >= size
+            self.asked, self.places = np.flatnonzero(met), np.flatnonzero(wanted)
+            self.asked_sizes = np.full(len(self.asked), size)
+            self.sizes = np.full(len(self.places), size)
+            self.old = None
+        elif not known.bounds:
+            self.asked = self.places = self.asked_sizes = self.sizes = self.old = np.zeros(0, np.int64)
+        else:
+            waits = known.asks[row] & (known.lengths >= max(LONG, 2 * size)) & (known.lengths < known.bounds[0])
+            waits &= known.lengths + size <= known.bounds[0]
+            self.asked = np.flatnonzero(waits)
+            self.asked_sizes = known.lengths[self.asked].astype(np.int64) + size
+            on = (known.sizes >= 2 * size) & (known.sizes + size <= known.bounds[1][known.places])
+            self.old = np.flatnonzero(on)
+            self.places = known.places[self.old].astype(np.int64)
+            self.sizes = known.sizes[self.old].astype(np.int64) + size
+        if not len(self.asked) and not len(self.places):
+            self.hashes = np.zeros(0, np.uint64)
+            self.of_asked = self.of_places = np.zeros(0, np.int64)
+            return
+        up, down = _powers(max(12, int(n).bit_length()))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(hashes[_numbers(codes)] * up[:n], out=sums[1:])
+
+        def runs(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+            return scramble((sums[at + sizes] - sums[at]) * down[at] + sizes.astype(np.uint64) * np.uint64(BASE))
+
+        if kind == "rise":  # many places both ask and supply
+            both = np.flatnonzero(met | wanted)
+            self.hashes, place = np.unique(runs(both, np.full(len(both), size)), return_inverse=True)
+            of = np.zeros(n, np.int64)
+            of[both] = place
+            self.of_asked, self.of_places = of[self.asked], of[self.places]
+        else:
+            sent = [runs(self.asked, self.asked_sizes), runs(self.places, self.sizes)]
+            self.hashes, place = np.unique(np.concatenate(sent), return_inverse=True)
+            self.of_asked, self.of_places = place[: len(self.asked)], place[len(self.asked) :]
+
+        self.asking, self.asking_row = self._rows(self.of_asked, self.asked)
+        order = np.arange(len(self.places)) if self.old is None else np.argsort(self.places, kind="stable")
+        self.supplying, self.supplying_row = self._rows(self.of_places[order], self.places[order])
+
+    def _rows(self, of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many rows, two at most, are behind each hash, and the first; places ascend."""
+        least = np.full(len(self.hashes), -1, np.int32)
+        most = np.full(len(self.hashes), -1, np.int32)
+        rows = self.row[at]
+        least[of[::-1]] = rows[::-1]
+        most[of] = rows
+        return ((most >= 0) * 1 + (most > least)).astype(np.uint8), least
 
     def flags(self) -> np.ndarray:
-        """1 if asked for, plus 2 for each text that supplies the run, of which two count."""
-        texts = max(1, len(self.own))
-        pairs = np.unique(self.of_supplies * texts + self.text[self.places]) // texts
-        flags = 2 * np.minimum(np.bincount(pairs, minlength=len(self.hashes)), 2)
-        flags[self.of_asks] += flags[self.of_asks] % 2 == 0
-        return flags.astype(np.uint8)
-
-
-def _sent(chunk: int, static: bytes, state: bytes, step: int, rising: bool, parts: int) -> Iterator[tuple]:
-    runs = _Runs(static, state, step, rising)
-    flags = runs.flags()
-    part = ((runs.hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # rises with the hash
-    cuts = np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
-    for k in range(parts):
-        a, b = cuts[k], cuts[k + 1]
-        if a < b:
-            yield k, (chunk, runs.hashes[a:b].tobytes(), zstandard.compress(flags[a:b].tobytes(), 1))
-
-
-def _answers(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """What becomes of each run sent to this part: the texts that supply it (two at most), plus 4 if it is asked for."""
-    held: dict[int, list] = {}
-    for k, row in rows:
-        held.setdefault(k, []).append(row)
-    for k, sent in held.items():
-        hashes = np.concatenate([np.frombuffer(h, np.uint64) for _, h, _ in sent])
-        flags = np.concatenate([np.frombuffer(zstandard.decompress(f), np.uint8) for *_, f in sent])
-        found, at = np.unique(hashes, return_inverse=True)
-        texts = np.minimum(np.bincount(at, flags >> 1, len(found)), 2).astype(np.uint8)
-        asked = np.bincount(at, flags & 1, len(found)) > 0
-        answer, start = (texts + 4 * asked.astype(np.uint8))[at], 0
-        for chunk, h, _ in sent:
-            stop = start + len(h) // 8
-            yield chunk, (k, zstandard.compress(answer[start:stop].tobytes(), 1))
-            start = stop
-
-
-def _learnt(static: bytes, state: bytes, answers: list, step: int, rising: bool) -> tuple[bytes, int]:
-    """The state after a round, and how many words learnt of a longer match.  A run that one text alone supplies isn't met by that text, whose own it is."""
-    runs = _Runs(static, state, step, rising)
-    answer = np.frombuffer(b"".join(zstandard.decompress(a) for _, a in sorted(answers)), np.uint8)
-    texts, asked = answer & 3, answer >> 2 > 0
-    theirs = texts[runs.of_asks]
-    met = (theirs == 2) | ((theirs == 1) & ~runs.known[runs.text[runs.asks]])
-    runs.lengths[runs.asks[met]] += step
-    more = asked[runs.of_supplies]
-    places, sizes = runs.states
-    old = sizes > 1  # single words are done with after the first round
-    places = np.concatenate([places[old], runs.places[more]])
-    sizes = np.concatenate([sizes[old], runs.sizes[more]])
-    return _state(runs.lengths, places, sizes, runs.known), int(met.sum())
-
-
-def _first_state(static: bytes, flags: list) -> bytes:
+        """Rows that ask, and four times the rows that supply."""
+        return self.asking + 4 * self.supplying
+
+    def learn(self, answer: np.ndarray) -> tuple[bytes, int]:
+        """The state after the round, and how many words have something left to ask; ``answer`` is like ``flags``, of all chunks."""
+        known, row = self.state, self.row
+        askers, suppliers = answer & 3, answer >> 2
+        if not len(self.hashes):
+            self.asking_row = self.supplying_row = np.zeros(0, np.int32)
+        # of one row alone: it must be another one
+        theirs, others = suppliers[self.of_asked], self.supplying_row[self.of_asked] != row[self.asked]
+        met = (theirs > 1) | ((theirs == 1) & others)
+        theirs, others = askers[self.of_places], self.asking_row[self.of_places] != row[self.places]
+        wanted = (theirs > 1) | ((theirs == 1) & others)
+        if self.kind == "rise":
+            known.met, known.wanted = np.zeros(len(row), bool), np.zeros(len(row), bool)
+            known.met[self.asked[met]] = True
+            known.wanted[self.places[wanted]] = True
+            known.lengths[known.met] = self.size
+            if self.size == LONG:
+                known.bounds = []
+                for flags in (known.met, known.wanted):
+                    reach = np.minimum(_stretch(flags) + LONG - 1, self.left)
+                    known.bounds.append(np.where(flags, reach, 0).astype(np.int32))
+            if self.size >= LONG:
+                new = self.places[wanted]
+                known.places = np.concatenate([known.places, new.astype(np.int32)])
+                known.sizes = np.concatenate([known.sizes, np.full(len(new), self.size, np.int32)])
+            return known.bytes(), int(met.sum())
+        if self.kind == "census":
+            keep = self.old[wanted]
+            known.places, known.sizes = known.places[keep], known.sizes[keep]
+            return known.bytes(), int(met.sum())
+        known.lengths[self.asked[met]] += self.size
+        known.places = np.concatenate([known.places, self.places[wanted].astype(np.int32)])
+        known.sizes = np.concatenate([known.sizes, self.sizes[wanted].astype(np.int32)])
+        return known.bytes(), int(met.sum())
+
+
+def _coded(hashes: np.ndarray, flags: np.ndarray) -> bytes:
+    """Sorted hashes as steps of as many bytes as the largest needs, and a byte of flags each."""
+    steps = np.diff(hashes, prepend=np.uint64(0))
+    size = max(1, (int(steps[1:].max(initial=0)).bit_length() + 7) // 8)
+    first = int(hashes[0]).to_bytes(8, "little")
+    body = steps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+    return bytes([size]) + first + len(hashes).to_bytes(4, "little") + body + zstandard.compress(flags.tobytes(), 1)
+
+
+def _decoded(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size, first, n = data[0], int.from_bytes(data[1:9], "little"), int.from_bytes(data[9:13], "little")
+    steps = np.zeros((n, 8), np.uint8)
+    steps[1:, :size] = np.frombuffer(data, np.uint8, (n - 1) * size, 13).reshape(-1, size)
+    steps = steps.view("<u8").ravel()
+    steps[0] = first
+    flags = np.frombuffer(zstandard.decompress(data[13 + (n - 1) * size :]), np.uint8)
+    return np.cumsum(steps, dtype=np.uint64), flags
+
+
+def _send(batches: Iterator[pa.RecordBatch], what: tuple, parts: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for chunk, static, state in zip(*(batch.column(c).to_pylist() for c in ("chunk", "packed", "state"))):
+            runs = Round(static, state, *what)
+            if not len(runs.hashes):
+                continue
+            flags = runs.flags()
+            part = ((runs.hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # rises with the hash
+            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])).tolist()
+            blob = [_coded(runs.hashes[a:b], flags[a:b]) for a, b in zip(cuts, cuts[1:])]
+            numbers = part[cuts[:-1]].astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(numbers), pa.array([chunk] * len(blob), pa.int64()), pa.array(blob, pa.binary())],
+                ["part", "chunk", "runs"],
+            )
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """For each run sent to this part, the rows of all chunks that ask and supply, two at most each."""
+    chunks, sent = table.column("chunk"), [_decoded(x) for x in table.column("runs").to_pylist()]
+    sizes = [len(h) for h, _ in sent]
+    found, at = np.unique(np.concatenate([h for h, _ in sent]), return_inverse=True)
+    flags = np.concatenate([f for _, f in sent])
+    asking = np.minimum(np.bincount(at, flags & 3, len(found)), 2).astype(np.uint8)
+    supplying = np.minimum(np.bincount(at, flags >> 2, len(found)), 2).astype(np.uint8)
+    answer = (asking + 4 * supplying)[at]
+    parts = [zstandard.compress(x.tobytes(), 1) for x in np.split(answer, np.cumsum(sizes)[:-1])]
+    return pa.table({"receiver": chunks, "part": table.column("part"), "answer": pa.array(parts, pa.binary())})
+
+
+def _learn(known: pa.Table, answers: pa.Table, what: tuple) -> pa.Table:
+    chunk, static, state = (known.column(c)[0].as_py() for c in ("chunk", "packed", "state"))
+    runs, active = Round(static, state, *what), 0
+    order = np.argsort(answers.column("part").to_numpy())
+    parts = answers.column("answer").to_pylist()
+    answer = np.frombuffer(b"".join(zstandard.decompress(parts[k]) for k in order.tolist()), np.uint8)
+    if len(answer) or not runs.state.bounds:  # else nothing was asked
+        state, active = runs.learn(answer)
+    kinds = (chunk, pa.int64()), (state, pa.binary()), (active, pa.int64())
+    return pa.table([pa.array([v], t) for v, t in kinds], ["chunk", "state", "active"])
+
+
+def _first_state(known: pa.Table, flags: pa.Table) -> pa.Table:
+    """Rows of which the reference has another copy are one phrase and ask nothing; of equal texts one row supplies."""
+    chunk, static = known.column("chunk")[0].as_py(), known.column("packed")[0].as_py()
     counts = _plain(static)[1]
-    text = np.repeat(np.arange(len(counts)), counts)
-    known = np.zeros(len(counts), bool)
-    supplies = np.zeros(len(counts), bool)
-    for at, supplying in flags:
-        known[at], supplies[at] = True, supplying
-    places = np.flatnonzero(supplies[text])
-    return _state(np.ones(len(text), np.int64), places, np.ones(len(places), np.int64), known)
-
-
-def _rows(static: bytes, state: bytes, reference_words: int) -> Iterator[tuple]:
-    ids, counts, own, *_ = _plain(static)
-    lengths, _, _, known = _read_state(state)
-    start = 0
-    for doc_id, n, phrases, mine in zip(ids, counts.tolist(), own, known.tolist()):
-        steps, at, crossed = lengths[start : start + n].tolist(), 0, 0
-        while at < n:
-            at += steps[at]
-            crossed += 1
-        start += n
-        yield doc_id, *rates(n, crossed, phrases, reference_words - n * mine)
-
-
-def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, piece_chars: int = PIECE_CHARS) -> DataFrame:
-    """Scores every row of ``docs`` (doc_id, text, in_reference) against all texts whose ``in_reference`` is true.
-
-    Returns doc_id, n_words, n_phrases, own_phrases, reference_words (of the distinct reference texts other than the row's),
+    asks, supplies = np.zeros(len(counts), bool), np.zeros(len(counts), bool)
+    at = flags.column("at").to_numpy()
+    asks[at] = flags.column("asks").to_numpy(zero_copy_only=False)
+    supplies[at] = flags.column("supplies").to_numpy(zero_copy_only=False)
+    lengths = np.ones(int(counts.sum()), np.int32)
+    whole = ~asks & (counts > 0)
+    lengths[(np.cumsum(counts) - counts)[whole]] = counts[whole]
+    none = np.zeros(0, np.int32)
+    state = State.packed(asks, supplies, lengths, np.zeros(len(lengths), bool), np.zeros(len(lengths), bool), [], none, none)
+    kinds = (chunk, pa.int64()), (state, pa.binary()), (int(asks.sum()), pa.int64())
+    return pa.table([pa.array([v], t) for v, t in kinds], ["chunk", "state", "active"])
+
+
+def _scores(batches: Iterator[pa.RecordBatch], reference_words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for static, state, good in zip(*(batch.column(c).to_pylist() for c in ("packed", "state", "good"))):
+            ids, counts, own, *_ = _plain(static)
+            lengths, rows, start = State(state).lengths.tolist(), [], 0
+            for doc_id, n, phrases, mine in zip(ids, counts.tolist(), own, good):
+                at = start
+                crossed = 0
+                while at < start + n:
+                    at += lengths[at]
+                    crossed += 1
+                start += n
+                rows.append((doc_id, *rates(n, crossed, phrases, reference_words - n * mine)))
+            yield _table(rows)
+
+
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    names = [x.split()[0] for x in SCORES.split(", ")]
+    kinds = [*[pa.int64()] * 5, pa.float64(), pa.float64()]
+    columns = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+
+class _Bucketed:
+    """Tables bucketed by chunk in the shared folder; joins of them move nothing."""
+
+    def __init__(self, spark, parts: int) -> None:
+        self.spark, self.parts, self.kept = spark, parts, []
+
+    def write(self, frame: DataFrame, label: str) -> DataFrame:
+        name = f"crossparse_{label}_{uuid.uuid4().hex}"
+        path = shared_path(self.spark, f"crossparse-{label}")
+        frame.write.bucketBy(self.parts, "chunk").option("path", path).option("compression", "none").saveAsTable(name)
+        self.kept.append((name, path))
+        return self.spark.table(name)
+
+    def drop(self, place: int) -> None:
+        """Deletes a table, then the shuffle files that nothing refers to any more."""
+        name, path = self.kept.pop(place)
+        self.spark.sql(f"DROP TABLE {name}")
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
+def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Scores every row of ``docs`` (doc_id, text, in_reference) against all other rows whose ``in_reference`` is true.
+
+    Returns doc_id, n_words, n_phrases, own_phrases, reference_words (of the reference rows other than the row itself),
     cross_bits and score, both in bits a word; low: like the reference.  Words are ``[^\\x20\\x09-\\x0D]+``.
 
-    Null and empty texts have no words and null scores; null ``in_reference`` counts as false.  Null and repeated doc_ids
-    are scored row by row, equal texts equally.  Without reference every word is a phrase.  An empty table gives no rows.
-    ``block_bytes`` sizes the chunks and doesn't change the result; ``piece_chars`` has no effect.  Other columns are ignored.
+    A text of which another row of the reference has a copy is one phrase.  Null and empty texts have no words and null
+    scores; null ``in_reference`` counts as false.  Null and repeated doc_ids are scored row by row, equal texts with equal
+    ``in_reference`` equally.  Without reference every word is a phrase.  An empty table gives no rows.  Whole texts of any
+    length, which must each fit into a worker; ``block_bytes`` and ``part_bytes`` size the chunks and don't change the
+    result.  Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -291,64 +472,75 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, piece_chars: int = PI
         "text",
         F.coalesce("in_reference", F.lit(False)).alias("of_reference"),
         F.xxhash64("text").alias("key"),
-        F.octet_length("text").alias("size"),
+        F.xxhash64(F.lit("other"), F.col("text")).alias("other"),
     )
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    parts = max(1, -(-total // PART_BYTES))
-    chunks = materialise(rows.drop("size").mapInArrow(lambda b: _pack(b, block_bytes), CHUNKS), "crossparse")
-    each = chunks.select("chunk", F.posexplode(F.arrays_zip("keys", "good", "counts")).alias("at", "x"))
-    each = each.select("chunk", "at", "x.keys", "x.good", "x.counts")
-    good = each.filter("good").groupBy("keys").agg(F.min(F.struct("chunk", "at")).alias("first"), F.max("counts").alias("n"))
-    reference_words = good.agg(F.sum("n")).first()[0] or 0
-    known = each.join(good, "keys").select("chunk", "at", (F.struct("chunk", "at") == F.col("first")).alias("supplies"))
-
-    def placed(rdd):
-        return rdd.partitionBy(parts)
-
-    def together(*rdds):
-        return python_cogroup(rdds, parts)  # moves none that is placed
-
-    static = placed(chunks.select("chunk", "packed").rdd.map(lambda r: (r[0], bytes(r[1]))))
-    flags = placed(known.rdd.map(lambda r: (r[0], (r[1], r[2]))))
-
-    def single(x):
-        return next(iter(x))
-
-    folder = spark._jvm.org.apache.hadoop.fs.Path
-    kept: list[str] = []
-
-    def written(found) -> tuple:
-        """The state (chunk, state, met) from its own files, so that the last round's files and shuffles can go."""
-        kept.append(shared_path(spark, "crossparse-state"))
-        spark.createDataFrame(found, "chunk bigint, state binary, met bigint").write.parquet(kept[-1])
-        if len(kept) > 1:
-            old = folder(kept.pop(0))
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
-        state = spark.read.schema("chunk bigint, state binary, met bigint").parquet(kept[-1])
-        met = state.agg(F.sum("met")).first()[0] or 0
-        return placed(state.select("chunk", "state").rdd.map(lambda r: (r[0], bytes(r[1])))), met
-
-    def round_of(state, step: int, rising: bool) -> tuple:
-        sent = together(static, state).flatMap(lambda x: _sent(x[0], single(x[1][0]), single(x[1][1]), step, rising, parts))
-        found = together(static, state, placed(placed(sent).mapPartitions(_answers)))
-        return written(found.map(lambda x: (x[0], *_learnt(*map(single, x[1][:2]), list(x[1][2]), step, rising))))
-
-    first = together(static, flags).map(lambda x: (x[0], _first_state(single(x[1][0]), list(x[1][1])), 0))
-    state, _ = written(first)
-    def freed() -> None:
-        """Shuffles of past rounds go when nothing refers to them any more."""
-        gc.collect()
-        spark._jvm.System.gc()
-
-    step, met = 1, 1
-    while met:
-        state, met = round_of(state, step, True)
-        freed()
-        step *= 2
-    step //= 4
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-total // part_bytes))
+    tables = _Bucketed(spark, parts)
+    packed = rows.mapInArrow(lambda b: _pack(b, block_bytes), CHUNKS).repartition(parts, "chunk")
+    chunks = tables.write(packed, "chunks")
+    each = chunks.select("chunk", F.posexplode(F.arrays_zip("keys", "others", "good", "counts")).alias("at", "x"))
+    each = each.select("chunk", "at", "x.keys", "x.others", "x.good", "x.counts")
+    copies = each.filter("good").groupBy("keys", "others").agg(
+        F.count("*").alias("copies"), F.min(F.struct("chunk", "at")).alias("first"), F.sum("counts").alias("words")
+    )
+    reference_words = copies.agg(F.sum("words")).first()[0] or 0
+    others = F.coalesce("copies", F.lit(0)) - F.col("good").cast("int")
+    supplies = F.coalesce(F.struct("chunk", "at") == F.col("first"), F.lit(False))
+    flags = each.join(copies, ["keys", "others"], "left").select(
+        F.col("chunk").alias("receiver"), "at", ((others == 0) & (F.col("counts") > 0)).alias("asks"), supplies.alias("supplies")
+    )
+    static = chunks.select("chunk", "packed")
+    first = static.groupBy("chunk").cogroup(flags.groupBy("receiver")).applyInArrow(_first_state, STATES)
+    state = tables.write(first, "state")
+
+    def round_of(*what) -> int:
+        nonlocal state
+        known = static.join(state.select("chunk", "state"), "chunk")
+        sent = known.mapInArrow(lambda b: _send(b, what, parts), SENT)
+        answers = sent.groupBy("part").applyInArrow(_answer, ANSWERS)
+        learnt = known.groupBy("chunk").cogroup(answers.groupBy("receiver")).applyInArrow(
+            lambda x, y: _learn(x, y, what), STATES
+        )
+        state = tables.write(learnt, "state")
+        active = state.agg(F.sum("active")).first()[0] or 0
+        tables.drop(1)  # the state before
+        return active
+
+    size, before = 2, 0
+    while total and round_of("rise", size, before):
+        size, before = size + 1 if size < LONG else 2 * size, size
+    if size > 2 * LONG:
+        round_of("census", 0, 0)
+    step = size // 4 if size > LONG else 0
     while step:
-        state, _ = round_of(state, step, False)
-        freed()
+        round_of("fall", step, 0)
         step //= 2
-    out = together(static, state).flatMap(lambda x: _rows(single(x[1][0]), single(x[1][1]), reference_words))
-    return spark.createDataFrame(out, SCORES)
+    found = chunks.select("chunk", "packed", "good").join(state.select("chunk", "state"), "chunk")
+    return found.mapInArrow(lambda b: _scores(b, reference_words), SCORES)
+
+
+def score_against(docs: DataFrame, reference: DataFrame, most_bytes: int = MOST_REFERENCE) -> DataFrame:
+    """Scores every row of ``docs`` (doc_id, text) against all texts of ``reference`` (text), which is another table.
+
+    The same columns and rules as ``score``, but no row is left out of the reference.  The reference goes to every worker,
+    as a suffix automaton; one of more than ``most_bytes`` is an error.  Null and empty reference texts have no words.
+    """
+    size = reference.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"a reference of {size} bytes: put it into the table and use score()")
+    texts = [r[0].encode().split() for r in reference.select("text").collect() if r[0]]
+    sent = docs.sparkSession.sparkContext.broadcast(texts)
+    words = sum(map(len, texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        moves = suffix_automaton(x for t in sent.value for x in [*t, None])
+        for batch in batches:
+            for part in slices(batch, "text", BLOCK_BYTES):
+                rows = []
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), blobs(part.column("text"))):
+                    found = text.split()
+                    rows.append((doc_id, *rates(len(found), cross_phrases(moves, found), own_phrases(found), words)))
+                yield _table(rows)
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCORES)

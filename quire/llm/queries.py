@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import crossparse, edits, languages, media, packing, pieces, simhash, substrings, topk, urlrules
-from quire.llm.shared import joined, read_table, vocabulary
+from quire.llm.shared import read_table, vocabulary
 
 
 #: The rules that op6 applies.
@@ -22,11 +22,9 @@ URL_RULES = (
 
 
 def op1_cross_parsing(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document against the text of all documents labelled good."""
-    good = read_table(spark, folder, "labels").filter("quality = 1").select("doc_id").distinct()
+    """Every document against the text of all others."""
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
-    marked = joined(docs, good.withColumn("in_reference", F.lit(True)), "doc_id", "left")
-    return crossparse.score(marked)
+    return crossparse.score(docs.withColumn("in_reference", F.lit(True)))
 
 
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:

@@ -46,8 +46,8 @@ def test_cross_phrases_and_score(spark, docs, rows, nothing):
         assert (r.score is None) == (r.n_words == 0)
         assert r.n_phrases <= r.n_words
     assert crossparse.score(nothing.withColumn("in_reference", F.lit(None).cast("boolean"))).count() == 0
-    small = crossparse.score(marked, block_bytes=64, piece_chars=100)
-    assert small.count() == len(rows)
+    alone = crossparse.score_against(docs, docs.select("text").limit(0)).collect()
+    assert len(alone) == len(rows) and all(r.n_phrases == r.n_words for r in alone)
 
 
 def test_cross_phrases_brute_force():
@@ -70,21 +70,28 @@ def test_cross_phrases_brute_force():
         assert crossparse.cross_phrases(moves, words) == brute(reference, words)
 
 
-@pytest.mark.parametrize("block_bytes", [64, 1 << 20])
-def test_cross_parsing_meets_the_whole_reference(spark, block_bytes):
+@pytest.mark.parametrize("block_bytes, whole", [(64, False), (1 << 20, True)])
+def test_cross_parsing_meets_the_whole_reference(spark, block_bytes, whole):
     rng = random.Random(3)
-    texts = [" ".join(rng.choices("abcde", k=rng.randrange(60))) for _ in range(60)]
-    texts += [texts[3], texts[4], texts[5] + " " + texts[6], "z " * 40 + texts[7], " ".join(texts[:30]), None]
-    rows = [(i, t, i % 3 == 0 or i == 64) for i, t in enumerate(texts)]
+    texts = [" ".join(rng.choices("abcdefghijk"[: 3 + k % 9], k=rng.randrange(90))) for k in range(60)]
+    texts += [texts[3], texts[4], texts[5] + " " + texts[6], "z " * 40 + texts[7], " ".join(texts[:30]), None, ""]
+    texts += [" ".join(texts[2:20]), " ".join(texts[20:33]) + " new " + texts[9], texts[10]]
+    rows = [(i, t, whole or i % 3 == 0 or i == 64) for i, t in enumerate(texts)]
     table = spark.createDataFrame(rows, "doc_id long, text string, in_reference boolean").repartition(3)
-    got = {r.doc_id: r for r in crossparse.score(table, block_bytes=block_bytes).collect()}
-    good = {t for _, t, g in rows if g}
+    got = {r.doc_id: r for r in crossparse.score(table, block_bytes, 1000).collect()}
+    assert len(got) == len(rows)
     for i, text, _ in rows:
-        others = [t.split() for t in good if t != text]
+        others = [(t or "").split() for k, t, g in rows if g and k != i]
         words = (text or "").split()
         moves = crossparse.suffix_automaton(x for r in others for x in [*r, None])
-        want = (len(words), crossparse.cross_phrases(moves, words), sum(map(len, others)) if text else got[i].reference_words)
-        assert (got[i].n_words, got[i].n_phrases, got[i].reference_words) == want
+        n, phrases, own, size = len(words), crossparse.cross_phrases(moves, words), got[i].own_phrases, sum(map(len, others))
+        assert (got[i].n_words, got[i].n_phrases, got[i].reference_words) == (n, phrases, size)
+        if n:
+            assert abs(got[i].score - (phrases * np.log2(size) - own * np.log2(own)) / n) < 1e-9
+    against = crossparse.score_against(table, table.filter("in_reference"))
+    found = {r.doc_id: r.n_phrases for r in against.collect()}
+    moves = crossparse.suffix_automaton(x for _, t, g in rows if g for x in [*(t or "").split(), None])
+    assert found == {i: crossparse.cross_phrases(moves, (t or "").split()) for i, t, _ in rows}
 
 
 def test_language_held_out_accuracy(spark, nothing):
