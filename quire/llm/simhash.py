@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import components
-from quire.llm.shared import blobs, joined, materialise, slices
+from quire.llm.shared import blobs, fresh_names, joined, materialise, slices
 
 SEED = 42
 SHIFTS, WIDTHS = (0, 22, 43), (22, 21, 21)
 GENERATOR = 0xC75
 ORDERED = tuple((i, j) for i in range(3) for j in range(3) if i != j)
 NO_PATTERN = 1 << 30
+#: Shingles whose bits are held at once.
+AT_ONCE = 255 * 128
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -39,19 +41,17 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     if not words:
         return 0
     if len(words) < shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    else:
-        joined_words = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = [0, *ends[:-shingle].tolist()]
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter(
-            [digest(joined_words[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())],
-            np.uint64,
-            len(starts),
-        )
-    counts = bit_counts(hashes)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+    joined_words, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    del words
+    starts = np.concatenate([[0], ends[:-shingle]])
+    stops = ends[shingle - 1 :] - 1
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(starts), AT_ONCE):
+        spans = zip(starts[k : k + AT_ONCE].tolist(), stops[k : k + AT_ONCE].tolist())
+        counts += bit_counts(np.array([digest(joined_words[a:b], SEED) for a, b in spans], np.uint64))
+    return int(np.packbits(2 * counts > len(starts), bitorder="little").view("<u8")[0])
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -144,7 +144,8 @@ def links(classes: DataFrame, most_bits: int = 2, crowded: int = 2000) -> DataFr
     """(a, b), a < b: all pairs of distinct fingerprints (column fp) that differ in at most two bits."""
     if not 0 <= most_bits <= 2:
         raise ValueError("the keys are built for at most two differing bits")
-    keys = classes.select("fp").mapInArrow(_keys, "key bigint, fp bigint, rest int")
+    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a class has 30 keys or more
+    keys = classes.select("fp").repartition(tasks, "fp").mapInArrow(_keys, "key bigint, fp bigint, rest int")
     hot = materialise(keys.groupBy("key").count().filter(F.col("count") > crowded).select("key"), "crowded-keys")
     if hot.isEmpty():
         keys = keys.select("key", "fp", F.lit(-1).alias("third"))
@@ -206,8 +207,9 @@ def drop_near_duplicates(docs: DataFrame, most_bits: int = 2) -> DataFrame:
     found = near_duplicates(docs, most_bits)
     order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     kept = found.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct(order, F.col("text_hash"))).alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("_doc"), F.col("k.text_hash").alias("_hash"))
-    marked = docs.withColumn("_text", F.xxhash64("text"))
-    same = F.col("_doc").eqNullSafe(marked["doc_id"].cast("bigint")) & (F.col("_hash") == F.col("_text"))
+    text_, doc_, hash_ = fresh_names(docs.columns, "text", "doc", "hash")
+    kept = kept.select(F.col("k.doc_id").alias(doc_), F.col("k.text_hash").alias(hash_))
+    marked = docs.withColumn(text_, F.xxhash64("text"))
+    same = F.col(doc_).eqNullSafe(marked["doc_id"].cast("bigint")) & (F.col(hash_) == F.col(text_))
     stay = marked.join(kept, same, "left_semi")
-    return stay.dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return stay.dropDuplicates(["doc_id", text_]).drop(text_)
