@@ -183,18 +183,27 @@ class TokenTree:
         return len(ordered)
 
 
-_mail = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
+_name = re.compile(r"[\w.+-]+")
+_host = re.compile(r"[\w-]+(?:\.[\w-]+)+")
 _number = re.compile(r"\d[\d .()-]{5,}\d")
 
 
 def redactions(text: str) -> list[Edit]:
     """Edits that replace e-mail addresses and long numbers (phones, cards, addresses of hosts)."""
-    found = [(m.start(), m.end(), "<mail>") for m in _mail.finditer(text)] if "@" in text else []
-    taken = [(a, b) for a, b, _ in found]
+    mails, stop = [], 0
+    for m in _name.finditer(text) if "@" in text else ():  # each run once, so that long texts take linear time
+        if text[m.end() : m.end() + 1] == "@" and m.end() > stop:
+            host = _host.match(text, m.end() + 1)
+            if host:
+                mails.append((max(m.start(), stop), host.end(), "<mail>"))
+                stop = host.end()
+    numbers, k = [], 0
     for m in _number.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b in taken):
-            found.append((m.start(), m.end(), "<number>"))
-    return found
+        while k < len(mails) and mails[k][1] <= m.start():
+            k += 1
+        if k == len(mails) or m.end() <= mails[k][0]:
+            numbers.append((m.start(), m.end(), "<number>"))
+    return mails + numbers
 
 
 def edited_counts(docs: DataFrame, vocabulary: str, edits: Callable[[str], list[Edit]] = redactions) -> DataFrame:
