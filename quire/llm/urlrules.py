@@ -1,9 +1,9 @@
 """URL filtering by host-suffix and path-prefix rules.
 
-A URL is expanded into expressions, each a suffix of its host joined to a prefix of its path.  Only shapes that some rule
-has are made: a rule of k labels and a path of n characters can only equal the expression of the URL's last k labels and
-first n characters.  Expressions meet the rules in an equi-join on a short hash prefix (32 bits of their SHA-256), and the
-full digests confirm.  Of the rules that fit, the longest holds.
+A URL is expanded into expressions, each a suffix of its host joined to a prefix of its path.  The suffixes of a host meet
+the hosts of the rules first; only path prefixes of the sizes that rules of such a host have are made.  Both the suffixes
+and the expressions meet the rules in an equi-join on a short hash prefix (32 bits of their SHA-256), and the full digests
+confirm.  Of the rules that fit, the longest holds.
 
 Equal pairs of host and path are judged once, so a hot host costs no more than its distinct paths.
 """
@@ -15,10 +15,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.shared import ascii_lower, joined
+from quire.llm.shared import ascii_lower, fresh_names, joined
 
-#: Shapes that are expanded by one array expression; more are joined in.
-MOST_SHAPES = 512
 RULES = "host string, path string, verdict string"
 
 
@@ -40,13 +38,6 @@ def _labels(host):
     return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
 
 
-def _expression(host, path, labels, size):
-    """The digest of the last labels of the host and the first characters of the path; null if either is too short."""
-    longer = (_labels(host) >= labels) & (F.length(path) >= size)
-    text = F.concat(F.call_function("substring_index", host, F.lit("."), -labels), F.lit("\n"), F.substring(path, F.lit(1), size))
-    return F.when(longer, F.sha2(text, 256))
-
-
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """``pages`` (with url) and the columns host, path, rule and verdict; columns of these names are replaced.
 
@@ -71,32 +62,28 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
         F.concat("host", "path").alias("rule"),
         "verdict",
     )
-    shape = [_labels(F.col("host")).alias("labels"), F.length("path").alias("size")]
     known = rules.select(
         F.sha2(F.concat("host", F.lit("\n"), "path"), 256).alias("digest"), rank.alias("rank")
     ).groupBy("digest").agg(F.max("rank").alias("rank"))
     known = known.select(F.substring("digest", 1, 8).alias("prefix"), F.col("digest").alias("full"), "rank")
-    shapes = rules.select(*shape).distinct()
-    some = shapes.limit(MOST_SHAPES + 1).collect()
+    hosts = rules.select(F.sha2("host", 256).alias("full"), F.length("path").alias("size")).distinct()
+    hosts = hosts.withColumn("prefix", F.substring("full", 1, 8))
     distinct = pages.select("host", "path").filter("host <> ''").distinct()
-    h, p = F.col("host"), F.col("path")
-    if len(some) <= MOST_SHAPES:
-        expressions = F.array_compact(F.array(*[_expression(h, p, F.lit(s[0]), F.lit(s[1])) for s in sorted(some)]))
-        if not some:
-            expressions = F.array().cast("array<string>")
-        expanded = distinct.select("host", "path", F.explode(expressions).alias("digest"))
-    else:  # an inequality join with a table of shapes would emit the same rows; shapes are joined by their labels
-        levels = F.explode(F.sequence(F.lit(1), _labels(h))).alias("labels")
-        expanded = distinct.select("host", "path", levels).join(shapes, "labels")
-        expanded = expanded.withColumn("digest", _expression(h, p, F.col("labels"), F.col("size")))
-        expanded = expanded.filter("digest is not null").select("host", "path", "digest")
+    labels = F.explode(F.sequence(F.lit(1), _labels(F.col("host")))).alias("labels")
+    suffix = F.call_function("substring_index", F.col("host"), F.lit("."), -F.col("labels"))
+    suffixes = distinct.select("host", "path", labels).withColumn("suffix", suffix)
+    suffixes = suffixes.withColumn("digest", F.sha2("suffix", 256)).withColumn("prefix", F.substring("digest", 1, 8))
+    expanded = joined(suffixes, hosts, "prefix", "inner").filter("digest = full and length(path) >= size")
+    expression = F.concat("suffix", F.lit("\n"), F.substring(F.col("path"), F.lit(1), F.col("size")))
+    expanded = expanded.select("host", "path", F.sha2(expression, 256).alias("digest"))
     met = joined(expanded.withColumn("prefix", F.substring("digest", 1, 8)), known, "prefix", "inner")
-    best = met.filter("digest = full").groupBy("host", "path").agg(F.max("rank").alias("rank"))
+    (rank_,) = fresh_names(pages.columns, "rank")
+    best = met.filter("digest = full").groupBy("host", "path").agg(F.max("rank").alias(rank_))
     out = pages.join(best, ["host", "path"], "left")
     return out.select(
         *[c for c in pages.columns if c not in ("host", "path")],
         "host",
         "path",
-        F.col("rank.rule").alias("rule"),
-        F.coalesce("rank.verdict", F.lit(default)).alias("verdict"),
+        F.col(f"{rank_}.rule").alias("rule"),
+        F.coalesce(f"{rank_}.verdict", F.lit(default)).alias("verdict"),
     )
