@@ -62,10 +62,11 @@ class Bins:
             self.close([(doc_id, start, tokens, ids[4 * start : 4 * (start + capacity)])])
             start += capacity
         for size in rest_sizes(tokens - start, capacity, self.slack):
-            pieces = self.open.setdefault(size, [])
+            fits = capacity // size  # the class
+            pieces = self.open.setdefault(fits, [])
             pieces.append((doc_id, start, tokens, ids[4 * start : 4 * (start + size)]))
-            if len(pieces) == capacity // size:
-                self.close(self.open.pop(size))
+            if len(pieces) == fits:
+                self.close(self.open.pop(fits))
             start += size
 
     def close(self, pieces: list[tuple]) -> None:
@@ -78,7 +79,7 @@ class Bins:
 
     def finish(self) -> None:
         """Closes what is left without padding."""
-        left = [p for size in sorted(self.open, reverse=True) for p in self.open[size]]
+        left = [p for fits in sorted(self.open) for p in self.open[fits]]
         self.open.clear()
         room, held = self.capacity, []
         total = sum(len(p[3]) for p in left) >> 2
