@@ -15,6 +15,7 @@ Characters outside the vocabulary become byte pieces and separate what is left a
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import struct
 import zlib
@@ -53,6 +54,42 @@ def marked(word: str) -> str:
     return word if word[:1] in ("\n", MARK) and word else MARK + word
 
 
+def model_type(path: str) -> int:
+    """1 for unigram, 2 for merges: field 3 of the trainer's settings, field 2 of a model file."""
+    with open(path, "rb") as file:
+        data = file.read()
+    return next((v for n, v in _fields(_field(data, 2)) if n == 3), 1)
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of an encoded message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            b = data[at]
+            at += 1
+            value |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return value
+
+    while at < len(data):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+        else:
+            size = number() if key & 7 == 2 else 8 if key & 7 == 1 else 4
+            yield key >> 3, data[at : at + size]
+            at += size
+
+
+def _field(data: bytes, wanted: int) -> bytes:
+    return b"".join(v for n, v in _fields(data) if n == wanted)
+
+
 class Vocabulary:
     """The pieces of a model file and the forward recursion over them; one a Python worker."""
 
@@ -69,9 +106,11 @@ class Vocabulary:
             raise ValueError("a piece crosses words")
         self.ids = {pieces[i]: i for i in plain}
         self.scores = {pieces[i]: model.get_score(i) for i in plain}
+        #: Of a character that is no piece: ten below the least score, as in the library.
+        self.penalty = min(self.scores.values(), default=0.0) - 10
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.unknown = model.unk_id()
-        self.merges = all(s <= 0 and s == int(s) for s in self.scores.values())
+        self.merges = model_type(path) == 2
         self.pairs: dict[str, dict[str, bool]] = {}
         if self.merges:  # a piece that its own characters don't merge to is never made
             self.ids = {p: i for p, i in self.ids.items() if self.merged(p) == [p]}
@@ -137,17 +176,19 @@ class Vocabulary:
                 sizes.append(size)
                 break
             else:
-                raise AssertionError(f"no piece ends {word[:end]!r}")
+                raise ValueError(f"the vocabulary has no encoding of {word[:end]!r}")
 
     def _score_forward(self, word: str, done: int, last: list, sizes: list, best: list) -> None:
         """The same for the best sum of scores, which is appended too."""
         ids, scores, ends = self.ids, self.scores, self.ends
         for end in range(done + 1, len(word) + 1):
-            found = best[end - 1] - 1e6, None, 1
-            for size in ends.get(word[end - 2 : end], (1,)) if end > 1 else (1,):
+            found = -math.inf, None, 1
+            for size in ends.get(word[end - 2 : end], (1,)) if end > 1 else (1,):  # of equals the longest
                 piece = word[end - size : end]
                 if size <= end and piece in ids and best[end - size] + scores[piece] > found[0]:
                     found = best[end - size] + scores[piece], piece, size
+            if word[end - 1] not in ids and best[end - 1] + self.penalty > found[0]:
+                found = best[end - 1] + self.penalty, None, 1
             best.append(found[0])
             last.append(found[1])
             sizes.append(found[2])
@@ -183,6 +224,8 @@ class Vocabulary:
                 ids.append(self.ids[piece])
             end -= sizes[end]
         ids.reverse()
+        if self.unknown in ids:  # neighbours become one
+            ids = [i for k, i in enumerate(ids) if i != self.unknown or k == 0 or ids[k - 1] != i]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[tuple[int, bytes]]:
@@ -202,7 +245,10 @@ class Vocabulary:
         return [(len(words), b"".join(map(get, words))) for words in split]
 
     def decode(self, packed: bytes) -> str:
-        """The text of packed ids; the mark in front is taken away.  Invalid bytes become U+FFFD."""
+        """The text of packed ids; the mark in front is taken away.
+
+        Invalid bytes become U+FFFD; the unknown id and ids of control pieces give nothing, ids out of range an error.
+        """
         raw = self.raw
         text = b"".join([raw[i] for i in memoryview(packed).cast("I")]).decode(errors="replace")
         return text[1:] if text[:1] == " " else text
