@@ -2,9 +2,11 @@
 
 Every byte n-gram (2 to 4 bytes of the lower-cased UTF-8 text, ended by zero bytes) is hashed to a bucket that has an
 embedding; a text's vector is the average over its n-grams, and a linear softmax gives the language.  The model is
-trained in numpy by stochastic gradient descent on a bounded, documented sample of labelled rows.  A temperature fitted
-on rows kept out of training calibrates the probabilities, and the rejection threshold is a low quantile of the
-calibrated probability of correctly labelled rows among these.
+trained in numpy by stochastic gradient descent on a bounded, documented sample of labelled rows.  One more class stands
+for text of no learned language; its examples are made: training snippets with their letters shuffled, and words of random
+letters of other scripts.  A temperature fitted on rows kept out of training calibrates the probabilities.  The score is the
+probability of the language; the rejection threshold is its ``rejected_share`` quantile over correctly labelled rows that
+were kept out.
 
 As average and softmax layer are both linear before the softmax, prediction needs only one number a bucket and language:
 the product of embeddings and weights is broadcast inside the task closure (buckets x languages floats).
@@ -30,7 +32,7 @@ PREDICTION = "doc_id bigint, held_out boolean, lang_pred string, score double, r
 
 @dataclass
 class LanguageModel:
-    """``table`` has a row a bucket and one of zeros; a column a language."""
+    """``table`` has a row a bucket and one of zeros; a column a language and one for none of them."""
 
     languages: list[str]
     table: np.ndarray
@@ -75,8 +77,8 @@ def logits(model: LanguageModel, texts: list[bytes]) -> np.ndarray:
         indexes.append(b)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     scale = 1.0 / np.maximum(1, len(GRAMS) * lengths)
-    result = np.empty((len(texts), len(model.languages)))
-    for k in range(len(model.languages)):
+    result = np.empty((len(texts), len(model.bias)))
+    for k in range(len(model.bias)):
         column = np.ascontiguousarray(model.table[:, k])
         total = column[indexes[0]]
         for b in indexes[1:]:
@@ -110,6 +112,23 @@ def snippet(text: bytes, rng: np.random.Generator) -> bytes:
     return b" ".join(words[k : k + n])
 
 
+#: First letters of scripts from which words of no language are made, and how many letters each has.
+SCRIPTS = ((0x3B1, 25), (0x430, 32), (0x561, 38), (0x5D0, 27), (0x627, 36), (0x905, 53), (0xE01, 46), (0x10D0, 33), (0x4E00, 2000), (0xAC00, 2000), (0x3041, 86))
+
+
+def nonsense(text: bytes, rng: np.random.Generator) -> bytes:
+    """Text of no language: the letters of ``text`` shuffled, or words of random letters of one script."""
+    if rng.random() < 0.5:
+        words = text.decode(errors="ignore").split()
+        letters = list("".join(words))
+        rng.shuffle(letters)
+        sizes = np.cumsum([len(w) for w in words])
+        return " ".join("".join(letters[a:b]) for a, b in zip([0, *sizes.tolist()], sizes.tolist())).encode()
+    first, size = SCRIPTS[int(rng.integers(len(SCRIPTS)))]
+    words = ("".join(chr(first + int(k)) for k in rng.integers(0, size, rng.integers(1, 9))) for _ in range(int(rng.integers(2, 13))))
+    return " ".join(words).encode()
+
+
 def fit(
     rows: list[tuple[int, str, str]],
     buckets: int = 1 << 14,
@@ -118,9 +137,12 @@ def fit(
     rate: float = 4.0,
     seed: int = 7,
     rejected_share: float = 0.0005,
-    highest_threshold: float = 0.4,
 ) -> LanguageModel:
-    """Trains on (doc_id, text, lang) rows; the order of the rows doesn't matter.  No rows: a model without languages."""
+    """Trains on (doc_id, text, lang) rows, which count once each; their order doesn't matter.
+
+    No rows: a model without languages.  ``validation`` has, of the rows kept out, their number, the accuracy, the share
+    rejected, and the share of made text of no language that isn't.
+    """
     rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[2], r[1]))
     languages = sorted({r[2] for r in rows})
     if not languages:
@@ -134,9 +156,11 @@ def fit(
     train = np.flatnonzero(~kept_out)
     examples = [(sparse(texts[i], buckets), label[i]) for i in train]
     examples += [(sparse(snippet(texts[i], rng), buckets), label[i]) for i in train for _ in range(2)]
+    none = len(languages)
+    examples += [(sparse(nonsense(snippet(texts[i], rng), rng), buckets), none) for i in train]
     emb = rng.normal(0, 0.1, (buckets, dimension)).astype(np.float32)
-    weights = np.zeros((dimension, len(languages)), np.float32)
-    bias = np.zeros(len(languages), np.float32)
+    weights = np.zeros((dimension, none + 1), np.float32)
+    bias = np.zeros(none + 1, np.float32)
     steps, done = epochs * len(examples), 0
     for _ in range(epochs):
         for i in rng.permutation(len(examples)):
@@ -150,13 +174,13 @@ def fit(
             weights -= step * np.outer(x, g)
             bias -= 0.01 * step * g
             emb[index] -= step * np.outer(share, back)
-    table = np.vstack([emb @ weights, np.zeros((1, len(languages)), np.float32)]).astype(np.float32)
+    table = np.vstack([emb @ weights, np.zeros((1, none + 1), np.float32)]).astype(np.float32)
     model = LanguageModel(languages, table, bias.astype(np.float64))
-    calibrate(model, texts, label, kept_out if kept_out.any() else ~kept_out, rng, rejected_share, highest_threshold)
+    calibrate(model, texts, label, kept_out if kept_out.any() else ~kept_out, rng, rejected_share)
     return model
 
 
-def calibrate(model, texts, label, which, rng, rejected_share: float, highest: float) -> None:
+def calibrate(model, texts, label, which, rng, rejected_share: float) -> None:
     """Fits the temperature by likelihood on whole texts and snippets, then takes the threshold."""
     chosen = [texts[i] for i in np.flatnonzero(which)]
     chosen += [snippet(t, rng) for t in chosen]
@@ -165,12 +189,22 @@ def calibrate(model, texts, label, which, rng, rejected_share: float, highest: f
     best = min(
         np.geomspace(0.05, 20, 60), key=lambda t: -np.log(softmax(raw / t)[np.arange(len(y)), y] + 1e-12).sum()
     )
-    p = softmax(raw / best)
-    right = p.argmax(axis=1) == y
     model.temperature = float(best)
-    top = np.sort(p.max(axis=1)[right])
-    model.threshold = float(min(highest, np.quantile(top, rejected_share))) if len(top) else 0.0
-    model.validation = {"rows": len(y), "accuracy": float(right.mean())}
+    p = probabilities(model, chosen)
+    right, top = p.argmax(axis=1) == y, p.max(axis=1)
+    model.threshold = float(np.quantile(top[right], rejected_share)) if right.any() else 0.0
+    made = probabilities(model, [nonsense(t, rng) for t in chosen]).max(axis=1)
+    model.validation = {
+        "rows": len(y),
+        "accuracy": float(right.mean()),
+        "rejected": float((top < model.threshold).mean()),
+        "nonsense_accepted": float((made >= model.threshold).mean()),
+    }
+
+
+def probabilities(model: LanguageModel, texts: list[bytes]) -> np.ndarray:
+    """Of each language, a row a text; what is missing to 1 is the probability of none."""
+    return softmax(logits(model, texts) / model.temperature)[:, : len(model.languages)]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -179,9 +213,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, rows_per_language: int, most_languages: int = 1000) -> list[tuple]:
-    """A sample of labelled rows, bounded by parameters, spread evenly over the whole table by a hash of the id.
+    """A sample of labelled rows, bounded by parameters, spread evenly over the whole table by a hash of id and text.
 
-    Languages are counted over all rows; each contributes about ``rows_per_language`` rows.  Only the
+    Languages are counted over all rows; each contributes about ``rows_per_language`` rows, repeated rows once.  Only the
     ``most_languages`` most frequent ones are learned.
     """
     usable = docs.filter(~held_out(docs["doc_id"]) & docs["lang"].isNotNull() & docs["text"].rlike("\\p{L}"))
@@ -190,12 +224,12 @@ def training_rows(docs: DataFrame, rows_per_language: int, most_languages: int =
     )
     if not counts:
         return []
-    spread = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    spread = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rate = F.lit(None).cast("double")
     rates = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(rows_per_language / r[1]))])
     rate = rates[F.col("lang")]
     picked = usable.select("doc_id", "text", "lang").filter(spread < rate)
-    return [tuple(r) for r in picked.collect()]
+    return [tuple(r) for r in picked.distinct().collect()]
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -223,7 +257,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Iterato
             texts = [bytes(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             known = np.fromiter((len(t) > 0 for t in texts), bool, len(texts)) & bool(model.languages)
             if model.languages:
-                p = softmax(logits(model, texts) / model.temperature)
+                p = probabilities(model, texts)
                 best, score = p.argmax(axis=1), p.max(axis=1)
             else:
                 best, score = np.zeros(len(texts), int), np.zeros(len(texts))
@@ -242,7 +276,10 @@ def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Iterato
 
 
 def identify(docs: DataFrame, rows_per_language: int = 500, **options) -> DataFrame:
-    """Trains on ``docs`` and predicts all of it."""
+    """Trains on the rows of ``docs`` that aren't held out and predicts all of it: see ``training_rows`` and ``predict``.
+
+    Rows with null text, null ``lang`` or null doc_id aren't learned from.  An empty table gives no rows.
+    """
     return predict(docs, fit(training_rows(docs, rows_per_language), **options))
 
 
@@ -251,7 +288,10 @@ def keep_recognised(docs: DataFrame, rows_per_language: int = 500, **options) ->
 
     Rejected are texts that are null or have no letter, and those with a calibrated probability below the threshold.  A null
     ``lang`` becomes the language found.  Without labelled rows there is no model, and only texts without a letter go.
+    Repeated rows are judged one by one.  A table without ``lang`` is an error.
     """
+    if "lang" not in docs.columns:
+        raise ValueError("keep_recognised learns from the column lang, which the table lacks")
     model = fit(training_rows(docs, rows_per_language), **options)
     fields, lettered = docs.schema.fields, F.col("text").rlike("\\p{L}")
     if not model.languages:
@@ -272,6 +312,6 @@ def keep_recognised(docs: DataFrame, rows_per_language: int = 500, **options) ->
 
 def _judged(text: pa.Array, model: LanguageModel) -> tuple[pa.Array, pa.Array]:
     texts = [x.encode() for x in pc.fill_null(pc.utf8_lower(text), "").to_pylist()]
-    p = softmax(logits(model, texts) / model.temperature)
+    p = probabilities(model, texts)
     lang = pa.array(model.languages, pa.string()).take(pa.array(p.argmax(axis=1)))
     return lang, pa.array(p.max(axis=1) < model.threshold)
