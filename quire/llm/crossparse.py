@@ -50,7 +50,7 @@ STATES = "chunk bigint, state binary, active bigint"
 SENT = "part bigint, chunk bigint, runs binary"
 ANSWERS = "receiver bigint, part bigint, answer binary"
 #: Text bytes of one chunk of documents, and of the chunks whose runs one part is planned for.
-BLOCK_BYTES, PART_BYTES = 4 << 20, 8 << 20
+BLOCK_BYTES, PART_BYTES = 4 << 20, 4 << 20
 #: Text bytes of a reference that every worker may hold as an automaton.
 MOST_REFERENCE = 8 << 20
 #: From this length on runs are doubled.
@@ -503,7 +503,7 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, part_bytes: int = PAR
             lambda x, y: _learn(x, y, what), STATES
         )
         state = tables.write(learnt, "state")
-        active = state.agg(F.sum("active")).first()[0] or 0
+        active = (state.agg(F.sum("active")).first()[0] or 0) if what[0] == "rise" else 0
         tables.drop(1)  # the state before
         return active
 
