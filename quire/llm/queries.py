@@ -107,7 +107,8 @@ FROM split s LEFT JOIN (SELECT * FROM fits WHERE place = 1) f ON s.host = f.host
 OP7_SQL = """
 WITH q AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
 ), pairs AS (
   SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.v, b.v)::BIGINT AS score
   FROM q a JOIN q b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id

@@ -186,6 +186,97 @@ def test_pieces_equal_the_library(docs, rows, nothing):
     assert pieces.round_trip(nothing, path).count() == 0
 
 
+def test_unigram_pieces_have_the_best_sum():
+    """The merge vocabulary's pieces under other scores, against all ways to cut a word."""
+    model = pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(4)
+    model.merges = False
+    model.scores = {p: -rng.choice([1.0, 2.5, 4.0, 7.25]) - len(p) / 4 for p in model.ids}
+    model.penalty = min(model.scores.values()) - 10
+
+    def cuts(word):
+        if not word:
+            yield 0.0, []
+        for size in range(1, len(word) + 1):
+            piece = word[:size]
+            if piece in model.ids:
+                score, ids = model.scores[piece], [model.ids[piece]]
+            elif size == 1:
+                score, ids = model.penalty, [model.bytes[b] for b in piece.encode()]
+            else:
+                continue
+            for rest, more in cuts(word[size:]):
+                yield score + rest, ids + more
+
+    by_id = {i: p for p, i in model.ids.items()}
+    words = {"".join(rng.choices(["a", "the", "in", "é", "hello", "ing", "🙂", "th", "er", "s", "on"], k=rng.randrange(1, 4)))[:9] for _ in range(300)}
+    words |= {w[:k] for w in list(words) for k in range(1, len(w))}
+    learned = model.learn(map(pieces.marked, words))
+    for word in words:
+        ids = memoryview(learned[pieces.marked(word)]).cast("I").tolist()
+        ways = list(cuts(pieces.marked(word)))
+        top = max(s for s, _ in ways)
+        assert any(i == ids and abs(s - top) < 1e-9 for s, i in ways), (word, [by_id.get(i) for i in ids])
+
+
+def test_redactions_are_those_of_the_plain_patterns_in_linear_time():
+    import re
+    import time
+
+    mail, number = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"), re.compile(r"\d[\d .()-]{5,}\d")
+
+    def plain(text):
+        found = [(m.start(), m.end(), "<mail>") for m in mail.finditer(text)]
+        taken = list(found)
+        for m in number.finditer(text):
+            if not any(a < m.end() and m.start() < b for a, b, _ in taken):
+                found.append((m.start(), m.end(), "<number>"))
+        return found
+
+    rng = random.Random(7)
+    for _ in range(4000):
+        text = "".join(rng.choices(["a", "@", ".", "b.c", "-", " ", "+", "12", "3 4", "1234567", "é", "@x.y"], k=rng.randrange(16)))
+        assert edits.redactions(text) == plain(text), text
+    began = time.time()
+    edits.redactions("x" * 1_000_000 + "@" + "a@b.c 1234567 " * 50_000)
+    assert time.time() - began < 20
+
+
+CLASHES = ("rank", "_doc", "_hash", "_text", "_id", "ranges", "root", "fp", "digest", "_ranges", "text_hash", "part", "position")
+
+
+def test_operators_take_clashing_columns_and_long_texts(spark):
+    long = "ab" * 1_000_000
+    rows = [(1, "one two three " * 20, "en"), (2, long, "en"), (3, None, None), (2, long, "en"), (None, "", "de")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    table = table.withColumns({c: F.lit("clash") for c in CLASHES})
+    pages = table.select(F.col("doc_id").alias("page_id"), F.lit("http://a.org/x").alias("url"), *CLASHES)
+    vectors = table.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"), *CLASHES)
+    path = public_tokenizers.path
+    assert crossparse.score(table.withColumn("in_reference", F.lit(True))).count() == 5
+    assert languages.identify(table).count() == 5
+    assert edits.edited_counts(table, path("byte_bpe_50k.tiktoken")).count() == 5
+    assert media.text_media(table).count() == 5
+    assert pieces.round_trip(table, path("piece_bpe_32k.model")).count() == 5
+    judged = urlrules.judge(pages, urlrules.rule_table(spark, queries.URL_RULES))
+    assert set(CLASHES) <= set(judged.columns) and {r.verdict for r in judged.collect()} == {"allow"}
+    assert topk.search(vectors, every=1).count() == 8  # of four rows with an id, two share one: three queries
+    assert packing.pack(table, path("word_bpe_49k.json")).agg(F.countDistinct("doc_id")).first()[0] == 3
+    assert substrings.remove_repeats(table).count() == 5
+    assert simhash.near_duplicates(table).count() == 5
+    for kept in (languages.keep_recognised(table), simhash.drop_near_duplicates(table), substrings.cut_repeats(table)):
+        assert kept.columns == table.columns
+        assert {tuple(r[c] for c in CLASHES) for r in kept.collect()} == {("clash",) * len(CLASHES)}
+
+
+def test_languages_reject_text_of_none_and_keep_clean_text(spark):
+    model = languages.fit(languages.training_rows(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 500))
+    assert model.validation["accuracy"] > 0.97 and model.validation["rejected"] < 0.01
+    assert model.validation["nonsense_accepted"] < 0.05
+    strange = ["данный текст написан кириллицей", "هذا النص مكتوب بالعربية", "这是中文文本", "zqxv kjqz xxqj vvkq qzzj xkcd", "ελληνικό κείμενο"]
+    assert (languages.probabilities(model, [t.encode() for t in strange]).max(axis=1) < model.threshold).mean() >= 0.8
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://EXAMPLE.org/en/17?q#f", "http://a.example.org/es/x", "http://badexample.org/es/x", "x://org", "x://org/", "ftp://u.com/de/", "http://u.com/fr/a", "http://u.net/", "a://b://c.com/de/x", "http://例.com/de/é"]
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls * 2)], "page_id long, url string, host string")
@@ -209,27 +300,50 @@ def test_url_rules(spark):
         assert (r.host, r.path, r.rule, r.verdict) == brute(r.url)
     assert urlrules.judge(pages.limit(0), table).count() == 0
     assert {r.verdict for r in urlrules.judge(pages, table.limit(0), "block").collect()} == {"block"}
-    urlrules.MOST_SHAPES, kept = 1, urlrules.MOST_SHAPES
-    try:
-        assert sorted(map(str, urlrules.judge(pages, table).collect())) == sorted(map(str, got))
-    finally:
-        urlrules.MOST_SHAPES = kept
+    many = [*rules, *(("com", "/" + "x" * k, "block") for k in range(1, 700))]
+    longer = spark.createDataFrame([(9, "http://www.u.com/" + "x" * 650, "clash"), (10, "http://u.com/fr/", None)], "page_id long, url string, host string")
+    found = urlrules.judge(longer, spark.createDataFrame(many, "host string, path string, verdict string")).collect()
+    assert {r.page_id: r.rule for r in found} == {9: "com/" + "x" * 650, 10: "com/fr/"}
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("broadcast_bytes", [topk.BROADCAST_BYTES, 400])
+def test_top_k(spark, broadcast_bytes):
     rng = np.random.default_rng(4)
     vectors = [(i, [float(x) for x in rng.normal(0, 0.3, 8)]) for i in range(90)]
     vectors += [(90, None), (91, [1.0, None] * 4), (92, [float("nan")] * 8), (93, [float("inf")] * 8), (100, [1.0, 2.0]), (102, [0.5, 0.5]), (None, [1.0] * 8), (120, [0.0] * 8), (40, vectors[40][1])]
+    vectors += [(140, []), (141, []), (160, [1e8] * 8), (161, [2.0**24, -3.0] * 4), (180, [1e300, 1e308]), (181, [1.0, 1e9]), (182, [1.0, -2.0**30])]
     table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
-    known = [(i, tuple(int(np.floor(64 * x)) for x in v)) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    known = [(i, tuple(int(x) * 64 if abs(x) > 1e9 else int(np.floor(64 * x)) for x in v)) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
     for q in sorted({k for k in known if k[0] % 20 == 0}):
-        scored = sorted((-sum(a * b for a, b in zip(q[1], v)), i) for i, v in known if i != q[0] and len(v) == len(q[1]))
-        want += [(q[0], n + 1, i, -s) for n, (s, i) in enumerate(scored[:20])]
-    assert sorted(map(tuple, topk.search(table).select("query_id", "rank", "vec_id", "score").collect())) == sorted(want)
+        scored = [(max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(q[1], v)))), i) for i, v in known if i != q[0] and len(v) == len(q[1])]
+        scored.sort(key=lambda x: (-x[0], x[1]))
+        want += [(q[0], n + 1, i, s) for n, (s, i) in enumerate(scored[:20])]
+    got = topk.search(table, broadcast_bytes=broadcast_bytes).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
     assert topk.search(table.limit(0)).count() == 0
 
 
+def test_top_k_prunes_by_what_earlier_blocks_have_proven():
+    rng = np.random.default_rng(6)
+    vectors, ids = np.floor(rng.normal(0, 20, (6000, 64))), np.arange(6000)
+    walk = topk.Walk(ids[:100], vectors[:100], 20, 1)
+    shares = []
+    kept = topk.ImpactIndex
+    for a in range(0, 6000, 2000):
+        index = kept(ids[a : a + 2000], vectors[a : a + 2000])
+        q, v, s = index.search(walk.ids, walk.queries, 20, walk.floor())
+        walk._keep(q, index.ids[v], s)
+        shares.append(index.scored / index.pairs)
+    assert shares[-1] < 0.05
+    full = vectors[:100] @ vectors.T
+    full[np.arange(100), np.arange(100)] = -np.inf
+    q, found, score = walk.found
+    for k in range(100):
+        order = np.lexsort([ids, -full[k]])[:20]
+        assert found[q == k].tolist() == order.tolist() and score[q == k].tolist() == full[k][order].tolist()
+
+
 @pytest.mark.parametrize("n", range(1, 24))
 def test_small_block_without_the_query_gives_all(n):
     rng = np.random.default_rng(n)
