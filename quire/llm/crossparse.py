@@ -46,15 +46,17 @@ SCORES = (
     "score double"
 )
 CHUNKS = "chunk bigint, packed binary, keys array<bigint>, others array<bigint>, good array<boolean>, counts array<bigint>"
-STATES = "chunk bigint, state binary, active bigint"
+#: ``reach`` bounds the runs that a chunk may still ask for or supply.
+STATES = "chunk bigint, state binary, active bigint, reach bigint"
 SENT = "part bigint, chunk bigint, runs binary"
 ANSWERS = "receiver bigint, part bigint, answer binary"
 #: Text bytes of one chunk of documents, and of the chunks whose runs one part is planned for.
-BLOCK_BYTES, PART_BYTES = 4 << 20, 4 << 20
+BLOCK_BYTES, PART_BYTES = 4 << 20, 16 << 20
 #: Text bytes of a reference that every worker may hold as an automaton.
 MOST_REFERENCE = 8 << 20
 #: From this length on runs are doubled.
 LONG = 4
+UNBOUNDED = 1 << 62
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -381,14 +383,21 @@ def _answer(table: pa.Table) -> pa.Table:
 
 def _learn(known: pa.Table, answers: pa.Table, what: tuple) -> pa.Table:
     chunk, static, state = (known.column(c)[0].as_py() for c in ("chunk", "packed", "state"))
-    runs, active = Round(static, state, *what), 0
-    order = np.argsort(answers.column("part").to_numpy())
-    parts = answers.column("answer").to_pylist()
-    answer = np.frombuffer(b"".join(zstandard.decompress(parts[k]) for k in order.tolist()), np.uint8)
-    if len(answer) or not runs.state.bounds:  # else nothing was asked
+    reach, active = known.column("reach")[0].as_py(), 0
+    if answers.num_rows or reach == UNBOUNDED:  # else nothing was asked
+        runs = Round(static, state, *what)
+        order = np.argsort(answers.column("part").to_numpy())
+        parts = answers.column("answer").to_pylist()
+        answer = np.frombuffer(b"".join(zstandard.decompress(parts[k]) for k in order.tolist()), np.uint8)
         state, active = runs.learn(answer)
-    kinds = (chunk, pa.int64()), (state, pa.binary()), (active, pa.int64())
-    return pa.table([pa.array([v], t) for v, t in kinds], ["chunk", "state", "active"])
+        bounds = runs.state.bounds
+        reach = max(int(b.max(initial=0)) for b in bounds) if bounds else UNBOUNDED
+    return _state_row(chunk, state, active, reach)
+
+
+def _state_row(chunk: int, state: bytes, active: int, reach: int) -> pa.Table:
+    kinds = (chunk, pa.int64()), (state, pa.binary()), (active, pa.int64()), (reach, pa.int64())
+    return pa.table([pa.array([v], t) for v, t in kinds], [x.split()[0] for x in STATES.split(", ")])
 
 
 def _first_state(known: pa.Table, flags: pa.Table) -> pa.Table:
@@ -404,8 +413,7 @@ def _first_state(known: pa.Table, flags: pa.Table) -> pa.Table:
     lengths[(np.cumsum(counts) - counts)[whole]] = counts[whole]
     none = np.zeros(0, np.int32)
     state = State.packed(asks, supplies, lengths, np.zeros(len(lengths), bool), np.zeros(len(lengths), bool), [], none, none)
-    kinds = (chunk, pa.int64()), (state, pa.binary()), (int(asks.sum()), pa.int64())
-    return pa.table([pa.array([v], t) for v, t in kinds], ["chunk", "state", "active"])
+    return _state_row(chunk, state, int(asks.sum()), UNBOUNDED)
 
 
 def _scores(batches: Iterator[pa.RecordBatch], reference_words: int) -> Iterator[pa.RecordBatch]:
@@ -496,8 +504,9 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, part_bytes: int = PAR
 
     def round_of(*what) -> int:
         nonlocal state
-        known = static.join(state.select("chunk", "state"), "chunk")
-        sent = known.mapInArrow(lambda b: _send(b, what, parts), SENT)
+        known = static.join(state.select("chunk", "state", "reach"), "chunk")
+        least = {"rise": what[1], "census": LONG + 1, "fall": 3 * what[1]}[what[0]]
+        sent = known.filter(F.col("reach") >= least).drop("reach").mapInArrow(lambda b: _send(b, what, parts), SENT)
         answers = sent.groupBy("part").applyInArrow(_answer, ANSWERS)
         learnt = known.groupBy("chunk").cogroup(answers.groupBy("receiver")).applyInArrow(
             lambda x, y: _learn(x, y, what), STATES
