@@ -206,10 +206,16 @@ def drop_near_duplicates(docs: DataFrame, most_bits: int = 2) -> DataFrame:
     """
     found = near_duplicates(docs, most_bits)
     order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    kept = found.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct(order, F.col("text_hash"))).alias("k"))
+    rows = found.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    least = F.min_by(F.struct("doc_id", "text_hash", "n"), F.struct(order, F.col("text_hash")))
+    kept = rows.groupBy("root").agg(least.alias("k"))
     text_, doc_, hash_ = fresh_names(docs.columns, "text", "doc", "hash")
-    kept = kept.select(F.col("k.doc_id").alias(doc_), F.col("k.text_hash").alias(hash_))
+    kept = kept.select(F.col("k.doc_id").alias(doc_), F.col("k.text_hash").alias(hash_), F.col("k.n").alias("n"))
+    kept = materialise(kept, "kept-documents")
     marked = docs.withColumn(text_, F.xxhash64("text"))
     same = F.col(doc_).eqNullSafe(marked["doc_id"].cast("bigint")) & (F.col(hash_) == F.col(text_))
-    stay = marked.join(kept, same, "left_semi")
-    return stay.dropDuplicates(["doc_id", text_]).drop(text_)
+    stay = marked.join(kept.filter("n = 1"), same, "left_semi")
+    again = kept.filter("n > 1")  # only repeated rows are grouped
+    if not again.isEmpty():
+        stay = stay.unionAll(marked.join(again, same, "left_semi").dropDuplicates(["doc_id", text_]))
+    return stay.drop(text_)
