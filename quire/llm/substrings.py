@@ -30,7 +30,7 @@ from quire.llm.shared import Words, blobs, fresh_names, materialise, scramble, s
 
 NO_ID = (1 << 63) - 1
 #: Packed bytes that one bucket is planned for, and that a task holds before it writes its buckets out.
-BUCKET_BYTES, TASK_BYTES = 6 << 20, 12 << 20
+BUCKET_BYTES, TASK_BYTES = 6 << 20, 24 << 20
 #: Words of the runs of the first and the second minimiser.
 RUNS = (3, 8)
 #: Hot minimisers of a level at most, by the choice of the threshold; they are sent to the tasks as an array.
@@ -151,7 +151,7 @@ class _Packer:
         self.length, self.buckets, self.size = length, buckets, 0
         self.strings: list[bytes] = []
         self.parts: list[tuple[np.ndarray, ...]] = []
-        self.press = zstandard.ZstdCompressor(level=1)
+        self.press = zstandard.ZstdCompressor(level=3)
 
     def add(self, part: Slice, first: np.ndarray, n: np.ndarray, keys: np.ndarray) -> None:
         word = part.windows[first]
