@@ -23,8 +23,24 @@ PERSONAL = {
     "phone": ("\\b\\d{10}\\b|\\b\\(\\d{3}\\)\\s*\\d{3}-\\d{4}\\b", 0),
     "currency": ("\\$\\d+(,\\d{3})*(\\.\\d{2})?", 0),
     "dates": ("\\b\\d{1,2}/\\d{1,2}/\\d{2,4}\\b", 0),
+    "alphabets": ("[A-Za-z]+", 0),
+    "numerics": ("\\b\\d+\\b", 0),
+    "special_characters": ("[^\\w\\s]", 0),
+    "python_dictionary": ("\\{\\s*\"\\w+\":\\s*\\d+(?:\\s*,\\s*\"\\w+\":\\s*\\d+)*\\s*\\}", 0),
+    "alphanumeric": ("[A-Za-z0-9]+", 0),
     "web": ("(https?://[^\\s]+)", 1),
 }
+#: Of a video's description.
+VIDEO = {
+    "duration": ("Duration[:\\s]*(\\d{1,2}:\\d{2}:\\d{2})", 1),
+    "resolution": ("Resolution[:\\s]*(\\d{3,4}x\\d{3,4})", 1),
+    "frame_rate": ("Frame Rate[:\\s]*(\\d+\\.?\\d*)fps", 1),
+    "format": ("Format[:\\s]*(\\w+)", 1),
+    "bitrate": ("Bitrate[:\\s]*(\\d+kbps)", 1),
+    "codec": ("Codec[:\\s]*(\\w+)", 1),
+    "audio_channels": ("Audio Channels[:\\s]*(\\d+)", 1),
+    "audio_sample_rate": ("Audio Sample Rate[:\\s]*(\\d+Hz)", 1),
+}
 
 
 def extract(x: Column, table: dict[str, tuple[str, int]]) -> list[Column]:

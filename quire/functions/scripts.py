@@ -37,7 +37,30 @@ def script(x: Column) -> Column:
     """The script with most characters, the earlier of equals; ``unknown`` without any."""
     ranked = [F.struct(h.alias("n"), F.lit(-k).alias("k"), F.lit(s).alias("s")) for k, (h, s) in enumerate(zip(histogram(x), RANGES))]
     best = F.array_max(F.array(*ranked))
-    return F.when(best["n"] > 0, best["s"]).otherwise("unknown")
+    # bound once: else every use counts the characters again
+    return F.get(F.transform(F.array(best), lambda b: F.when(b["n"] > 0, b["s"]).otherwise("unknown")), F.lit(0))
+
+
+def process(x: Column) -> Column:
+    """script, language, confidence, direction and cleaned text of a text, with its characters counted once."""
+
+    def rest(name: Column) -> Column:
+        lang, sure = language_of(name, x)
+        return F.struct(
+            name.alias("script"), lang.alias("language"), sure.alias("confidence"), direction(name).alias("direction"), clean_script(x, name).alias("text")
+        )
+
+    return F.get(F.transform(F.array(script(x)), rest), F.lit(0))
+
+
+def setting(code: Column, settings: dict[str, str], default: str) -> Column:
+    """A language's setting, or the default."""
+    return F.coalesce(F.create_map(*[F.lit(v) for pair in settings.items() for v in pair])[code], F.lit(default))
+
+
+def allowed(x: Column, languages) -> Column:
+    """Whether the language of the first 1000 characters is in a list."""
+    return process(F.substring(x, 1, 1000))["language"].isin(*languages)
 
 
 def language_of(script_name: Column, x: Column) -> tuple[Column, Column]:
@@ -68,6 +91,6 @@ def clean_script(x: Column, script_name: Column) -> Column:
     x = F.trim(F.regexp_replace(x, "\\s+", " "))
     return (
         F.when(script_name == "arabic", F.regexp_replace(x, "[\\x{064B}-\\x{065F}\\x{0670}\\x{06D6}-\\x{06ED}]", ""))
-        .when(script_name == "cjk", F.regexp_replace(x, "[\\x{3000}\\x{FEFF}]", ""))
+        .when(script_name == "cjk", F.trim(F.regexp_replace(F.regexp_replace(x, "\\x{FEFF}", ""), "[\\s\\x{3000}]+", " ")))
         .otherwise(x)
     )

@@ -52,6 +52,23 @@ def html(headers: Column, rows: Column, caption: Column | None = None) -> Column
     return F.concat(F.lit("<table>"), head, row(headers, "th"), F.array_join(F.transform(rows, lambda r: row(r, "td")), ""), F.lit("</table>"))
 
 
+def json(headers: Column, rows: Column, caption: Column | None = None) -> Column:
+    return F.to_json(F.struct(headers.alias("headers"), rows.alias("rows"), *([] if caption is None else [caption.alias("caption")])))
+
+
+def from_json(x: Column) -> Column:
+    """A struct of headers, rows and caption; missing parts are empty, text that is no object gives null."""
+    got = F.from_json(x, "headers array<string>, rows array<array<string>>, caption string")
+    empty = F.array().cast("array<string>"), F.array().cast("array<array<string>>")
+    whole = F.struct(F.coalesce(got["headers"], empty[0]).alias("headers"), F.coalesce(got["rows"], empty[1]).alias("rows"), got["caption"].alias("caption"))
+    return F.when(x.rlike("^\\s*\\{"), whole)
+
+
+def sheet(headers: Column, rows: Column, name: Column) -> Column:
+    """What a spreadsheet takes: its name, and all rows with the headers first."""
+    return F.struct(name.alias("sheet"), F.concat(F.array(headers), rows).alias("cells"))
+
+
 def text(headers: Column, rows: Column) -> Column:
     line = lambda r: F.array_join(r, " | ", "")
     return F.array_join(F.concat(F.array(line(headers)), F.transform(rows, line)), "\n")

@@ -21,8 +21,45 @@ def failure_runs(events: DataFrame, key: str, order: list[str], failed: Column)
     return marked.groupBy(key, "run").agg(F.count("*").alias("n"), F.min(order[0]).alias("start"), F.max(order[0]).alias("end"))
 
 
+def breaker_openings(events: DataFrame, key: str, ts: str, tie: str, failed: Column, threshold: int = 5, timeout_s: float = 60.0) -> DataFrame:
+    """(key, opened, half_open): every opening of a key's breaker.
+
+    ``threshold`` failures in a row open it.  While it is open attempts are ignored; the first one after the timeout is a
+    trial: failure opens it again, success closes it.  A key's attempts are folded in order, in constant memory.
+    """
+    ordered = events.select(
+        F.col(key).cast("string").alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(tie).alias("tie"), failed.alias("failed")
+    )
+    ordered = ordered.repartition("key").sortWithinPartitions("key", "at", "tie")
+
+    def fold(batches):
+        import pyarrow as pa
+
+        last, failures, until = None, 0, None
+        for batch in batches:
+            out = []
+            for name, at, bad in zip(*(batch.column(c).to_pylist() for c in ("key", "at", "failed"))):
+                if name != last:
+                    last, failures, until = name, 0, None
+                if until is not None and at < until:
+                    continue
+                trial, until = until is not None, None
+                failures = failures + 1 if bad else 0
+                if bad and (trial or failures >= threshold):
+                    failures, until = 0, at + int(timeout_s * 1_000_000)
+                    out.append((name, at, until))
+            columns = list(zip(*out)) or [()] * 3
+            kinds = pa.string(), pa.int64(), pa.int64()
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "opened", "half_open"])
+
+    return ordered.mapInArrow(fold, "key string, opened bigint, half_open bigint")
+
+
 def breaker_intervals(events: DataFrame, key: str, ts: str, tie: str, failed: Column, threshold: int = 5, timeout: str = "60 seconds") -> DataFrame:
-    """(key, opened, half_open): when the threshold-th failure in a row opens the breaker, and when it may try again."""
+    """(key, opened, half_open): when the threshold-th failure in a row opens a breaker that nothing has opened before.
+
+    Once a run: the state after an opening is what ``breaker_openings`` folds.
+    """
     w = Window.partitionBy(key).orderBy(ts, tie)
     marked = events.withColumn("_bad", failed.cast("int")).withColumn("run", F.sum(1 - F.col("_bad")).over(w)).filter("_bad = 1")
     ranked = marked.withColumn("n", F.row_number().over(Window.partitionBy(key, "run").orderBy(ts, tie)))

@@ -17,7 +17,8 @@ KEYWORDS = {
     "documentation": ("docs", "api", "reference", "guide"),
 }
 BOOSTS = (("blog", ("/blog/", "/article/")), ("product", ("/product/", "/item/")), ("news", ("/news/",)))
-LINK = "<a\\s[^>]*?href=\"([^\"#]*)"
+#: The value of a link's href: in double or single quotes, or bare; up to its fragment.
+LINK = "(?i)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*(\"[^\"#]*|'[^'#]*|[^\\s>\"'#]+)"
 
 
 def visible(html: Column) -> Column:
@@ -27,9 +28,13 @@ def visible(html: Column) -> Column:
     return F.trim(F.regexp_replace(html, "\\s+", " "))
 
 
+def link_values(html: Column) -> Column:
+    return F.transform(F.regexp_extract_all(html, F.lit(LINK), 1), lambda v: F.regexp_replace(v, "^[\"']", ""))
+
+
 def links(pages: DataFrame) -> DataFrame:
     """(page_id, url, target): one row a link, resolved against the page's URL, fragments cut."""
-    found = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("link"))
+    found = pages.select("page_id", "url", F.explode(link_values(F.col("html"))).alias("link"))
     return found.select("page_id", "url", urls.resolve(F.col("url"), F.col("link")).alias("target"))
 
 

@@ -76,8 +76,10 @@ def url_valid_link(spark, folder):
     return table(spark, folder, "pages").filter(ok).select("page_id")
 
 
+#: The expression of ``pages.links`` inside SQL quotes.
+LINK_SQL = pages.LINK.replace("'", "''")
 LINKS_SQL = f"""{URL_PARTS}, l AS (
-  SELECT page_id, url, unnest(regexp_extract_all(html, '<a\\s[^>]*?href="([^"#]*)', 1)) AS link FROM pages
+  SELECT page_id, url, regexp_replace(unnest(regexp_extract_all(html, '{LINK_SQL}', 1)), '^["'']', '') AS link FROM pages
 ), links AS (
   SELECT l.page_id, l.url, CASE
     WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN link
@@ -94,7 +96,7 @@ def page_links(spark, folder):
 
 @query(
     "page_link_counts",
-    "SELECT page_id, len(regexp_extract_all(html, '<a\\s[^>]*?href=\"([^\"#]*)', 1)) AS n_links FROM pages",
+    f"SELECT page_id, len(regexp_extract_all(html, '{LINK_SQL}', 1)) AS n_links FROM pages",
 )
 def page_link_counts(spark, folder):
     return table(spark, folder, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit(pages.LINK), 1)).cast("long").alias("n_links"))
@@ -393,7 +395,8 @@ def classify_doc_heuristic(spark, folder):
 
 @query(
     "structural_segments",
-    "SELECT doc_id, len(list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda p: trim(p)), lambda p: p <> '')) AS n_segments FROM documents",
+    f"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda p: trim(p)), lambda p: p <> '') AS parts FROM documents)
+SELECT doc_id, (len(parts) + len(list_filter(parts, lambda p: regexp_matches(p, '^(?s:.+?)\\b(?:{"|".join(classify.CUES)})\\b'))))::BIGINT AS n_segments FROM p""",
 )
 def structural_segments(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.size(classify.segments(F.col("text"))).cast("long").alias("n_segments"))

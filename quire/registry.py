@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from quire.plans import queries  # noqa: F401  registers
+    from quire.plans import documents, page_layout, queries  # noqa: F401  registers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
