@@ -102,6 +102,26 @@ def test_language_held_out_accuracy(spark, nothing):
     assert languages.identify(nothing).count() == 0
 
 
+def test_language_scores_are_averages_over_the_grams():
+    rng = np.random.default_rng(3)
+    buckets = 64
+    table = np.vstack([rng.normal(0, 1, (buckets, 3)), np.zeros((1, 3))]).astype(np.float32)
+    model = languages.LanguageModel(["a", "b"], table, rng.normal(0, 1, 3), temperature=0.7)
+    texts = [b"abc", b"x", "été 12".encode(), b"a b c d " * 50]
+    for text, got in zip(texts, languages.probabilities(model, texts)):
+        total = np.zeros(3)
+        for n in languages.GRAMS:
+            for k in range(len(text)):
+                h = 0x811C9DC5 + n
+                for c in (text[k : k + n] + bytes(n))[:n]:
+                    h = (h ^ c) * 0x01000193 & 0xFFFFFFFF
+                    h ^= h >> 15
+                total += table[h & (buckets - 1)]
+        x = (total / (len(languages.GRAMS) * len(text)) + model.bias) / 0.7
+        e = np.exp(x - x.max())
+        assert np.allclose(got, (e / e.sum())[:2], atol=1e-5)
+
+
 def test_language_edges(spark, docs, rows):
     got = languages.identify(docs).collect()
     assert len(got) == len(rows)
