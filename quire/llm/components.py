@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import materialise
+from quire.llm.shared import materialise, shuffled
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -13,11 +13,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select("b", "a"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        step = both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        step = both.filter("v > u").join(shuffled(least), "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
     else:
         down = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        step = down.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        step = down.join(shuffled(least), "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
         step = step.unionAll(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
     return step.filter("a < b").distinct()
 

@@ -126,6 +126,15 @@ def small_enough(frame, rows: int) -> bool:
     return frame.limit(rows + 1).count() <= rows
 
 
+def shuffled(frame):
+    """Joins of this table are sort-merge joins, which AQE splits at hot keys.
+
+    Spark guesses sizes from compressed files and doesn't know how many rows Python makes of one, so else it may broadcast
+    through the driver what doesn't fit there.
+    """
+    return frame.hint("merge")
+
+
 def joined(left, right, on, how: str, broadcast_rows: int = 100_000):
     """Joins with ``right`` broadcast if it is proven to have few rows, else by shuffle, which AQE splits at hot keys."""
     return left.join(F.broadcast(right) if small_enough(right, broadcast_rows) else right, on, how)

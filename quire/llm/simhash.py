@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import components
-from quire.llm.shared import blobs, fresh_names, joined, materialise, slices
+from quire.llm.shared import blobs, fresh_names, joined, materialise, shuffled, slices
 
 SEED = 42
 SHIFTS, WIDTHS = (0, 22, 43), (22, 21, 21)
@@ -157,7 +157,7 @@ def links(classes: DataFrame, most_bits: int = 2, crowded: int = 2000) -> DataFr
         )
     a, b = keys.alias("a"), keys.alias("b")
     pairs = a.join(
-        b,
+        shuffled(b),
         (F.col("a.key") == F.col("b.key"))
         & (F.col("a.third") == F.col("b.third"))
         & (F.col("a.fp") < F.col("b.fp"))
@@ -180,10 +180,9 @@ def near_duplicates(docs: DataFrame, most_bits: int = 2) -> DataFrame:
     pairs = materialise(links(classes, most_bits), "links")
     roots = components(pairs).select(F.col("node").alias("fp"), "root")
     both = pairs.select(F.col("a").alias("fp"), F.col("b").alias("other")).unionAll(pairs.select("b", "a"))
-    near = (
-        both.join(classes.select(F.col("fp").alias("other"), "n"), "other").groupBy("fp").agg(F.sum("n").alias("near"))
-    )
-    known = classes.join(near, "fp", "left").join(roots, "fp", "left")
+    sizes = shuffled(classes.select(F.col("fp").alias("other"), "n"))
+    near = both.join(sizes, "other").groupBy("fp").agg(F.sum("n").alias("near"))
+    known = classes.join(shuffled(near), "fp", "left").join(shuffled(roots), "fp", "left")
     known = materialise(
         known.select(
             "fp",
@@ -194,7 +193,7 @@ def near_duplicates(docs: DataFrame, most_bits: int = 2) -> DataFrame:
         "classes",
     )
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(known.drop("first").join(least, "root"), "fp").select(
+    return rows.join(shuffled(known.drop("first").join(shuffled(least), "root")), "fp").select(
         "doc_id", "text_hash", "fp", "n_near", "root", "component_id"
     )
 

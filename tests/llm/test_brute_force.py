@@ -12,7 +12,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quire.llm import crossparse, edits, languages, media, packing, pieces, queries, simhash, substrings, topk, urlrules
+from quire.llm import components as module_of_components
+from quire.llm import crossparse, edits, languages, media, packing, pieces, queries, shared, simhash, substrings, topk, urlrules
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, n_near long, fp string"
@@ -499,6 +500,20 @@ def test_simhash_links_of_random_fingerprints(spark):
         assert {tuple(r) for r in simhash.links(frame, 2, crowded).collect()} == want
 
 
+def test_near_dedup_broadcasts_nothing_that_grows_with_the_data(spark, docs, monkeypatch):
+    plans = []
+
+    def noted(frame, label):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return shared.materialise(frame, label)
+
+    for module in (simhash, module_of_components):
+        monkeypatch.setattr(module, "materialise", noted)
+    for frame in (simhash.near_duplicates(docs),):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_golay_decoding_shares_a_codeword():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 1 << 23, 300)
