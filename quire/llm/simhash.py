@@ -213,8 +213,8 @@ def drop_near_duplicates(docs: DataFrame, most_bits: int = 2) -> DataFrame:
     kept = materialise(kept, "kept-documents")
     marked = docs.withColumn(text_, F.xxhash64("text"))
     same = F.col(doc_).eqNullSafe(marked["doc_id"].cast("bigint")) & (F.col(hash_) == F.col(text_))
-    stay = marked.join(kept.filter("n = 1"), same, "left_semi")
+    stay = marked.join(shuffled(kept.filter("n = 1")), same, "left_semi")
     again = kept.filter("n > 1")  # only repeated rows are grouped
     if not again.isEmpty():
-        stay = stay.unionAll(marked.join(again, same, "left_semi").dropDuplicates(["doc_id", text_]))
+        stay = stay.unionAll(marked.join(shuffled(again), same, "left_semi").dropDuplicates(["doc_id", text_]))
     return stay.drop(text_)

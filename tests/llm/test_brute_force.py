@@ -509,7 +509,7 @@ def test_near_dedup_broadcasts_nothing_that_grows_with_the_data(spark, docs, mon
 
     for module in (simhash, module_of_components):
         monkeypatch.setattr(module, "materialise", noted)
-    for frame in (simhash.near_duplicates(docs),):
+    for frame in (simhash.near_duplicates(docs), simhash.drop_near_duplicates(docs)):
         plans.append(frame._jdf.queryExecution().executedPlan().toString())
     assert sum("SortMergeJoin" in p for p in plans) > 4 and not any("Broadcast" in p for p in plans)
 
