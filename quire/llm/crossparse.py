@@ -54,6 +54,8 @@ ANSWERS = "receiver bigint, part bigint, answer binary"
 BLOCK_BYTES, PART_BYTES = 4 << 20, 16 << 20
 #: Text bytes of a reference that every worker may hold as an automaton.
 MOST_REFERENCE = 8 << 20
+#: Hashes of a part that are met at once, about.
+AT_ONCE = 1 << 18
 #: From this length on runs are doubled.
 LONG = 4
 UNBOUNDED = 1 << 62
@@ -229,8 +231,8 @@ class Round:
         _, counts, _, hashes, codes = _plain(static)
         n = len(known.lengths)
         self.row = row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-        self.left = left = np.repeat(np.cumsum(counts), counts) - np.arange(n)  # words from here to the end
-        at = np.arange(n)
+        at = np.arange(n, dtype=np.int32)
+        self.left = left = np.repeat(np.cumsum(counts).astype(np.int32), counts) - at  # words from here to the end
         if kind == "rise":
             on = left >= size
             if before:
@@ -243,8 +245,6 @@ class Round:
                 met &= known.bounds[0] >= size
                 wanted &= known.bounds[1] >= size
             self.asked, self.places = np.flatnonzero(met), np.flatnonzero(wanted)
-            self.asked_sizes = np.full(len(self.asked), size)
-            self.sizes = np.full(len(self.places), size)
             self.old = None
         elif not known.bounds:
             self.asked = self.places = self.asked_sizes = self.sizes = self.old = np.zeros(0, np.int64)
@@ -270,7 +270,7 @@ class Round:
 
         if kind == "rise":  # many places both ask and supply
             both = np.flatnonzero(met | wanted)
-            self.hashes, place = np.unique(runs(both, np.full(len(both), size)), return_inverse=True)
+            self.hashes, place = np.unique(runs(both, np.array([size])), return_inverse=True)
             of = np.zeros(n, np.int64)
             of[both] = place
             self.of_asked, self.of_places = of[self.asked], of[self.places]
@@ -369,15 +369,27 @@ def _send(batches: Iterator[pa.RecordBatch], what: tuple, parts: int) -> Iterato
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """For each run sent to this part, the rows of all chunks that ask and supply, two at most each."""
+    """For each run sent to this part, the rows of all chunks that ask and supply, two at most each.
+
+    Hashes are sorted within a chunk, so a range of them at a time is met, which bounds what is held.
+    """
     chunks, sent = table.column("chunk"), [_decoded(x) for x in table.column("runs").to_pylist()]
-    sizes = [len(h) for h, _ in sent]
-    found, at = np.unique(np.concatenate([h for h, _ in sent]), return_inverse=True)
-    flags = np.concatenate([f for _, f in sent])
-    asking = np.minimum(np.bincount(at, flags & 3, len(found)), 2).astype(np.uint8)
-    supplying = np.minimum(np.bincount(at, flags >> 2, len(found)), 2).astype(np.uint8)
-    answer = (asking + 4 * supplying)[at]
-    parts = [zstandard.compress(x.tobytes(), 1) for x in np.split(answer, np.cumsum(sizes)[:-1])]
+    ranges = -(-sum(len(h) for h, _ in sent) // AT_ONCE)
+    low, high = min(int(h[0]) for h, _ in sent), max(int(h[-1]) for h, _ in sent)
+    bounds = np.array([low + (high - low) * k // ranges for k in range(1, ranges)], np.uint64)
+    edges = [[0, *np.searchsorted(h, bounds).tolist(), len(h)] for h, _ in sent]
+    answers = [np.empty(len(h), np.uint8) for h, _ in sent]
+    for k in range(ranges):
+        found, at = np.unique(np.concatenate([h[e[k] : e[k + 1]] for (h, _), e in zip(sent, edges)]), return_inverse=True)
+        flags = np.concatenate([f[e[k] : e[k + 1]] for (_, f), e in zip(sent, edges)])
+        asking = np.minimum(np.bincount(at, flags & 3, len(found)), 2).astype(np.uint8)
+        supplying = np.minimum(np.bincount(at, flags >> 2, len(found)), 2).astype(np.uint8)
+        answer, start = (asking + 4 * supplying)[at], 0
+        for whole, e in zip(answers, edges):
+            n = e[k + 1] - e[k]
+            whole[e[k] : e[k + 1]] = answer[start : start + n]
+            start += n
+    parts = [zstandard.compress(x.tobytes(), 1) for x in answers]
     return pa.table({"receiver": chunks, "part": table.column("part"), "answer": pa.array(parts, pa.binary())})
 
 

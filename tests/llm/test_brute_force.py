@@ -3,13 +3,16 @@
 import hashlib
 import random
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from quire.llm import components as module_of_components
@@ -95,6 +98,26 @@ def test_cross_parsing_meets_the_whole_reference(spark, block_bytes, whole):
     assert found == {i: crossparse.cross_phrases(moves, (t or "").split()) for i, t, _ in rows}
 
 
+def test_cross_parsing_answers_a_part_in_little_memory():
+    rng = np.random.default_rng(4)
+    pool = np.unique(rng.integers(1 << 40, 1 << 44, 400_000).astype(np.uint64))
+    sent = [(np.sort(rng.choice(pool, n, replace=False)), rng.choice([1, 2, 4, 5, 8, 10], n).astype(np.uint8)) for n in (1, 2, 7, *[40_000] * 40)]
+    table = pa.table({"chunk": range(len(sent)), "part": [3] * len(sent), "runs": [crossparse._coded(*x) for x in sent]})
+    asking, supplying = Counter(), Counter()
+    for hashes, flags in sent:
+        for h, f in zip(hashes.tolist(), flags.tolist()):
+            asking[h] += f & 3
+            supplying[h] += f >> 2
+    tracemalloc.start()
+    answers = crossparse._answer(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for (hashes, _), got in zip(sent, answers.column("answer").to_pylist()):
+        want = bytes(min(asking[h], 2) + 4 * min(supplying[h], 2) for h in hashes.tolist())
+        assert zstandard.decompress(got) == want
+    assert peak < 3 * sum(h.nbytes for h, _ in sent)
+
+
 def test_language_held_out_accuracy(spark, nothing):
     found = queries.op2_language_id(spark, "/root/testdata/sf0.01")
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
