@@ -20,7 +20,8 @@ the largest power of two down.
 Runs travel as 64-bit hashes, once a chunk of documents, to a part picked by the hash, where asking and supplying rows
 meet; both learn about it, so only runs that some row shares go on.  Different runs count as equal if their hashes clash,
 which for ``a`` runs asked and ``s`` supplied in a round has a chance of about ``a s / 2^64``.  Chunks and their states are
-tables bucketed by chunk, which stay where they are between rounds.
+tables bucketed by chunk, which stay where they are between rounds.  Longer runs consist of runs of 4 that were met or
+wanted, so after these only the words of such runs are kept for the rounds that follow.
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ SCORES = (
 CHUNKS = "chunk bigint, packed binary, keys array<bigint>, others array<bigint>, good array<boolean>, counts array<bigint>"
 #: ``reach`` bounds the runs that a chunk may still ask for or supply.
 STATES = "chunk bigint, state binary, active bigint, reach bigint"
+#: What is left of a chunk after runs of LONG; ``base`` has the lengths before that, and which words are left.
+SMALLER = "chunk bigint, packed binary, base binary, state binary, active bigint, reach bigint"
 SENT = "part bigint, chunk bigint, runs binary"
 ANSWERS = "receiver bigint, part bigint, answer binary"
 #: Text bytes of one chunk of documents, and of the chunks whose runs one part is planned for.
@@ -182,6 +185,14 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)  # modulo 2^64
 
 
+def _tighter(bounds: np.ndarray, flags: np.ndarray, size: int) -> np.ndarray:
+    """Bounds after runs of ``size``: who isn't flagged has none, and longest runs end no earlier than those of the word before."""
+    at = np.arange(len(bounds), dtype=np.int32)
+    most = np.where(bounds > 0, np.where(flags, bounds, np.minimum(bounds, size - 1)), LONG - 1)
+    ends = np.minimum.accumulate((at + most)[::-1])[::-1]
+    return np.where(bounds > 0, ends - at, 0).astype(np.int32)
+
+
 def _stretch(flags: np.ndarray) -> np.ndarray:
     """How many flags in a row are set from each place on."""
     n = len(flags)
@@ -218,6 +229,37 @@ class State:
         return State.packed(self.asks, self.supplies, *kept)
 
 
+def _smaller(static: bytes, state: bytes) -> tuple[bytes, bytes, bytes]:
+    """After runs of LONG: the chunk with only the words of runs that were met or wanted, its base, and its state.
+
+    No longer run has other words, and those it has stay next to each other.
+    """
+    known = State(state)
+    _, counts, _, hashes, codes = _plain(static)
+    begun = known.met | known.wanted
+    keep = begun.copy()
+    for k in range(1, LONG):
+        keep[k:] |= begun[:-k]
+    stops = np.cumsum(counts)
+    total = np.concatenate([[0], np.cumsum(keep)])
+    distinct, codes = np.unique(_numbers(codes)[keep], return_inverse=True)
+    packed = _pressed(None, total[stops] - total[stops - counts], None, hashes[distinct], _halves(codes))
+    base = _pressed(_halves(known.lengths), np.packbits(keep))
+    kept = known.lengths[keep], known.met[keep], known.wanted[keep], [b[keep] for b in known.bounds]
+    return packed, base, State.packed(known.asks, known.supplies, *kept, total[known.places], known.sizes)
+
+
+def _whole_lengths(base: bytes | None, state: bytes) -> np.ndarray:
+    """The lengths of all words of a chunk."""
+    found = State(state).lengths
+    if base is None:
+        return found
+    lengths, keep = _plain(base)
+    whole = _numbers(lengths)
+    whole[np.unpackbits(keep, count=len(whole)).astype(bool)] = found
+    return whole
+
+
 class Round:
     """The runs that a chunk asks for and supplies in a round, as sorted distinct hashes.
 
@@ -253,7 +295,7 @@ class Round:
             waits &= known.lengths + size <= known.bounds[0]
             self.asked = np.flatnonzero(waits)
             self.asked_sizes = known.lengths[self.asked].astype(np.int64) + size
-            on = (known.sizes >= 2 * size) & (known.sizes + size <= known.bounds[1][known.places])
+            on = (known.sizes >= 2 * size) & (known.sizes + max(size, 1) <= known.bounds[1][known.places])
             self.old = np.flatnonzero(on)
             self.places = known.places[self.old].astype(np.int64)
             self.sizes = known.sizes[self.old].astype(np.int64) + size
@@ -317,6 +359,9 @@ class Round:
                 for flags in (known.met, known.wanted):
                     reach = np.minimum(_stretch(flags) + LONG - 1, self.left)
                     known.bounds.append(np.where(flags, reach, 0).astype(np.int32))
+            elif self.size > LONG and len(row):
+                flagged = zip(known.bounds, (known.met, known.wanted))
+                known.bounds = [_tighter(b, flags, self.size) for b, flags in flagged]
             if self.size >= LONG:
                 new = self.places[wanted]
                 known.places = np.concatenate([known.places, new.astype(np.int32)])
@@ -329,6 +374,8 @@ class Round:
         known.lengths[self.asked[met]] += self.size
         known.places = np.concatenate([known.places, self.places[wanted].astype(np.int32)])
         known.sizes = np.concatenate([known.sizes, self.sizes[wanted].astype(np.int32)])
+        keep = (known.sizes < known.bounds[1][known.places]) & (self.size > 1) if known.bounds else slice(None)
+        known.places, known.sizes = known.places[keep], known.sizes[keep]
         return known.bytes(), int(met.sum())
 
 
@@ -351,9 +398,16 @@ def _decoded(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps, dtype=np.uint64), flags
 
 
+def _rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """Values of one row at a time, as chunks are large."""
+    columns = [batch.column(c) for c in names]
+    for k in range(batch.num_rows):
+        yield tuple(c[k].as_py() for c in columns)
+
+
 def _send(batches: Iterator[pa.RecordBatch], what: tuple, parts: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for chunk, static, state in zip(*(batch.column(c).to_pylist() for c in ("chunk", "packed", "state"))):
+        for chunk, static, state in _rows_of(batch, "chunk", "packed", "state"):
             runs = Round(static, state, *what)
             if not len(runs.hashes):
                 continue
@@ -407,6 +461,15 @@ def _learn(known: pa.Table, answers: pa.Table, what: tuple) -> pa.Table:
     return _state_row(chunk, state, active, reach)
 
 
+def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in SMALLER.split(", ")]
+    kinds = pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()
+    for batch in batches:
+        for chunk, static, state, active, reach in _rows_of(batch, "chunk", "packed", "state", "active", "reach"):
+            row = chunk, *_smaller(static, state), active, reach
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names)
+
+
 def _state_row(chunk: int, state: bytes, active: int, reach: int) -> pa.Table:
     kinds = (chunk, pa.int64()), (state, pa.binary()), (active, pa.int64()), (reach, pa.int64())
     return pa.table([pa.array([v], t) for v, t in kinds], [x.split()[0] for x in STATES.split(", ")])
@@ -430,9 +493,9 @@ def _first_state(known: pa.Table, flags: pa.Table) -> pa.Table:
 
 def _scores(batches: Iterator[pa.RecordBatch], reference_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for static, state, good in zip(*(batch.column(c).to_pylist() for c in ("packed", "state", "good"))):
+        for static, base, state, good in _rows_of(batch, "packed", "base", "state", "good"):
             ids, counts, own, *_ = _plain(static)
-            lengths, rows, start = State(state).lengths.tolist(), [], 0
+            lengths, rows, start = _whole_lengths(base, state).tolist(), [], 0
             for doc_id, n, phrases, mine in zip(ids, counts.tolist(), own, good):
                 at = start
                 crossed = 0
@@ -464,9 +527,12 @@ class _Bucketed:
         self.kept.append((name, path))
         return self.spark.table(name)
 
-    def drop(self, place: int) -> None:
-        """Deletes a table, then the shuffle files that nothing refers to any more."""
-        name, path = self.kept.pop(place)
+    def drop_old(self, label: str) -> None:
+        """Deletes the last table but one of this label, then the shuffle files that nothing refers to any more."""
+        places = [k for k, (name, _) in enumerate(self.kept) if name.startswith(f"crossparse_{label}_")]
+        if len(places) < 2:
+            return
+        name, path = self.kept.pop(places[-2])
         self.spark.sql(f"DROP TABLE {name}")
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
@@ -525,11 +591,17 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, part_bytes: int = PAR
         )
         state = tables.write(learnt, "state")
         active = (state.agg(F.sum("active")).first()[0] or 0) if what[0] == "rise" else 0
-        tables.drop(1)  # the state before
+        tables.drop_old("state")
         return active
 
+    base = chunks.select("chunk", F.lit(None).cast("binary").alias("base"))
     size, before = 2, 0
     while total and round_of("rise", size, before):
+        if size == LONG:
+            left = static.join(state, "chunk").mapInArrow(_reduce, SMALLER)
+            smaller = tables.write(left, "smaller")
+            static, base = smaller.select("chunk", "packed"), smaller.select("chunk", "base")
+            state = smaller.select("chunk", "state", "active", "reach")
         size, before = size + 1 if size < LONG else 2 * size, size
     if size > 2 * LONG:
         round_of("census", 0, 0)
@@ -537,7 +609,7 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, part_bytes: int = PAR
     while step:
         round_of("fall", step, 0)
         step //= 2
-    found = chunks.select("chunk", "packed", "good").join(state.select("chunk", "state"), "chunk")
+    found = chunks.select("chunk", "packed", "good").join(base, "chunk").join(state.select("chunk", "state"), "chunk")
     return found.mapInArrow(lambda b: _scores(b, reference_words), SCORES)
 
 

@@ -98,6 +98,48 @@ def test_cross_parsing_meets_the_whole_reference(spark, block_bytes, whole):
     assert found == {i: crossparse.cross_phrases(moves, (t or "").split()) for i, t, _ in rows}
 
 
+def test_cross_parsing_keeps_only_words_of_long_runs():
+    rng = random.Random(6)
+    passage = " ".join(f"p{k}" for k in range(23))
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(2000)) for _ in range(100)]
+    for i in range(0, 100, 20):
+        texts[i] = f"{texts[i]} {passage} tail{i}"
+    columns = [range(100), texts, range(100), range(100), [True] * 100]
+    batch = pa.RecordBatch.from_pydict(dict(zip(("doc_id", "text", "key", "other", "of_reference"), map(list, columns))))
+    known = pa.Table.from_batches(crossparse._pack(iter([batch]), 1 << 30))
+    flags = pa.table({"at": range(100), "asks": [True] * 100, "supplies": [True] * 100})
+    static = known.column("packed")[0].as_py()
+    state = crossparse._first_state(known, flags).column("state")[0].as_py()
+
+    def learn(static, state, *what):  # all rows are in this chunk
+        runs = crossparse.Round(static, state, *what)
+        return runs.learn(runs.flags() if len(runs.hashes) else np.zeros(0, np.uint8))[0]
+
+    def peak(static, state):
+        tracemalloc.start()
+        runs = crossparse.Round(static, state, "rise", 8, 4)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most, runs.hashes.tolist(), runs.flags().tolist()
+
+    for what in (("rise", 2, 0), ("rise", 3, 2), ("rise", 4, 3)):
+        state = learn(static, state, *what)
+    small, base, left = crossparse._smaller(static, state)
+    most, *sent = peak(static, state)
+    less, *sent_less = peak(small, left)
+    assert sent == sent_less and len(sent[0]) == 16
+    assert less < most / 20
+    rest = [("rise", 8, 4), ("rise", 16, 8), ("rise", 32, 16), ("census", 0, 0)]
+    for what in rest:
+        left = learn(small, left, *what)
+    assert crossparse.State(left).bounds[0][:23].tolist() == [*range(23, 3, -1), 0, 0, 0]  # ends where the passage ends
+    for what in (("fall", 8, 0), ("fall", 4, 0), ("fall", 2, 0), ("fall", 1, 0)):
+        left = learn(small, left, *what)
+    lengths = crossparse._whole_lengths(base, left)
+    assert lengths[2000:2024].tolist() == [*range(23, 0, -1), 1]
+    assert lengths.sum() == len(lengths) + 5 * sum(range(23))
+
+
 def test_cross_parsing_answers_a_part_in_little_memory():
     rng = np.random.default_rng(4)
     pool = np.unique(rng.integers(1 << 40, 1 << 44, 400_000).astype(np.uint64))
