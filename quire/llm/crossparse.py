@@ -193,6 +193,12 @@ def _tighter(bounds: np.ndarray, flags: np.ndarray, size: int) -> np.ndarray:
     return np.where(bounds > 0, ends - at, 0).astype(np.int32)
 
 
+def _implied(lengths: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Lengths that follow from the words before, as longest runs end no earlier; ``asked`` has the bounds of who asks."""
+    at = np.arange(len(lengths), dtype=np.int32)
+    return np.maximum.accumulate(at + np.where(asked > 0, lengths, 0)) - at
+
+
 def _stretch(flags: np.ndarray) -> np.ndarray:
     """How many flags in a row are set from each place on."""
     n = len(flags)
@@ -251,9 +257,11 @@ def _smaller(static: bytes, state: bytes) -> tuple[bytes, bytes, bytes]:
 
 def _whole_lengths(base: bytes | None, state: bytes) -> np.ndarray:
     """The lengths of all words of a chunk."""
-    found = State(state).lengths
+    known = State(state)
+    found = known.lengths
     if base is None:
         return found
+    found = np.where(known.bounds[0] > 0, np.maximum(found, _implied(found, known.bounds[0])), found)
     lengths, keep = _plain(base)
     whole = _numbers(lengths)
     whole[np.unpackbits(keep, count=len(whole)).astype(bool)] = found
@@ -293,6 +301,7 @@ class Round:
         else:
             waits = known.asks[row] & (known.lengths >= max(LONG, 2 * size)) & (known.lengths < known.bounds[0])
             waits &= known.lengths + size <= known.bounds[0]
+            waits &= _implied(known.lengths, known.bounds[0]) < known.bounds[0]
             self.asked = np.flatnonzero(waits)
             self.asked_sizes = known.lengths[self.asked].astype(np.int64) + size
             on = (known.sizes >= 2 * size) & (known.sizes + max(size, 1) <= known.bounds[1][known.places])
@@ -372,6 +381,9 @@ class Round:
             known.places, known.sizes = known.places[keep], known.sizes[keep]
             return known.bytes(), int(met.sum())
         known.lengths[self.asked[met]] += self.size
+        if known.bounds and len(row):
+            known.bounds[0][self.asked[~met]] = self.asked_sizes[~met] - 1
+            known.bounds[0] = _tighter(known.bounds[0], np.ones(len(row), bool), 0)
         known.places = np.concatenate([known.places, self.places[wanted].astype(np.int32)])
         known.sizes = np.concatenate([known.sizes, self.sizes[wanted].astype(np.int32)])
         keep = (known.sizes < known.bounds[1][known.places]) & (self.size > 1) if known.bounds else slice(None)
