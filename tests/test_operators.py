@@ -157,6 +157,18 @@ def test_segments(spark):
     assert [(r.start, r.end) for r in classify.offsets(rows, "id", "t").orderBy("position").collect()][:2] == [(0, 6), (7, 7)]
 
 
+def test_sample_moves_keys_alone(spark):
+    rows = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = spark.range(100, 700).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("label"))
+    for n in (1, 37, 400, 1000):
+        want = rows.join(labels, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        got = classify.sample(rows, labels, "doc_id", n)
+        assert sorted(got.collect()) == sorted(want.select(*got.columns).collect())
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "Exchange SinglePartition" not in plan and "TakeOrdered" not in plan
+    assert classify.sample(rows, labels.limit(0), "doc_id", 5).count() == 0
+
+
 def test_docx_reader_rejects_garbage():
     try:
         list(files.docx(io.BytesIO(b"no zip").getvalue()))
