@@ -3,6 +3,7 @@ import random
 import zipfile
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quire.operators import classify, duplicates, layout, logs, pages, rollups, trees
@@ -60,6 +61,20 @@ def test_html(spark):
     assert '"title":"Head"' in tree
 
 
+def test_html_is_read_in_small_batches(spark, monkeypatch):
+    """A worker gives out few rows at once, however many pages a batch holds."""
+    page = "<h1>Head</h1>" + "<p>words</p>" * 50
+    seen = {}
+    for method in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(spark.range(1)), method, lambda frame, run, schema, *a, **k: seen.setdefault("run", run))
+    html.read(spark.range(1).select(F.col("id").alias("page_id"), F.lit(page).alias("html")))
+    whole = pa.RecordBatch.from_pydict({"doc_id": list(range(900)), "html": [page, None, ""] * 300})
+    got = list(seen["run"](iter([whole.slice(0, 450), whole.slice(450), whole.slice(0, 0)])))
+    assert max(b.num_rows for b in got) <= 2000 and sum(b.num_rows for b in got) == 300 * 51
+    rows = pa.Table.from_batches(got)
+    assert rows["doc_id"].to_pylist() == [k for k in range(0, 900, 3) for _ in range(51)] and rows["position"].to_pylist() == list(range(51)) * 300
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.md").write_text("# One\nText **bold**\n\nmore `code`\n## Two\n```py\nx=1\n```\n")
     (tmp_path / "b.yaml").write_text("a: 1\nb: [x, {c: true}]\n")
