@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from difflib import SequenceMatcher
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quire.batches import parts
+
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}
 HEADER_LINE = "(?i)^(Page\\s+\\d+|Confidential|[A-Z]{2,}\\s+\\d+$)"
 MATH = ("\\\\frac", "\\\\sum", "\\\\int", "\\\\sqrt", "[=<>]\\s*\\d", "\\^\\{?\\d", "[∑∫√π∞]", "\\$[^$]+\\$")
@@ -20,9 +22,15 @@ FORMULA_WEIGHTS = {
 }
 
 
-@F.pandas_udf(StringType())
-def nfkc(x: pd.Series) -> pd.Series:
-    return x.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def nfkc_parts(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for array in arrays:
+        for start, n in parts(array):
+            yield pa.array([t and unicodedata.normalize("NFKC", t) for t in array.slice(start, n).to_pylist()], pa.string())
+
+
+@F.arrow_udf(StringType())
+def nfkc(x: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return nfkc_parts(x)
 
 
 def words(x: Column) -> Column:

@@ -1,5 +1,6 @@
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +108,14 @@ def test_tables(spark):
     assert got.age == ["25", None, "1,5"] and got.no == [] and got.cell is None
     assert got.types == {"Name": "text", "Age": "numeric"} and len(got.cells) == 6
     assert "<td>John</td>" in got.html and got.text.startswith("Name | Age\nJohn | 25")
+
+
+def test_nfkc_takes_batches_in_parts(spark):
+    """No array that is given out holds more than a part of a large batch, and rows keep their order across parts."""
+    texts = ["ﬁ½" * 50_000, None, "", "plain"] * 25
+    want = [t and unicodedata.normalize("NFKC", t) for t in texts]
+    got = list(T.nfkc_parts(iter([pa.array(texts), pa.array([], pa.string()), pa.array(texts).slice(1, 3)])))
+    assert [t for a in got for t in a.to_pylist()] == want + want[1:4]
+    assert max(a.nbytes for a in got) < 2 << 20
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(1)
+    assert [r.x for r in rows.select("id", T.nfkc(F.col("t")).alias("x")).orderBy("id").collect()] == want
