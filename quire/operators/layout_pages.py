@@ -47,12 +47,14 @@ def edge_clusters(boxes: DataFrame, least_gap: float = 50.0, share: float = 0.03
 
     The distance is ``least_gap`` at least; clusters with under ``share`` of a page's boxes are left out.
     """
-    w = Window.partitionBy(*PAGE).orderBy("x0")
-    steps = boxes.select(*PAGE, "x0", (F.col("x0") - F.lag("x0").over(w)).alias("step"))
-    page = steps.groupBy(*PAGE).agg(F.greatest(F.lit(least_gap), 2 * F.coalesce(F.median("step"), F.lit(0.0))).alias("eps"), F.count("*").alias("total"))
-    marked = steps.join(page, PAGE)
-    marked = marked.withColumn("cluster", F.sum(F.coalesce((F.col("step") > F.col("eps")).cast("int"), F.lit(0))).over(w))
-    found = marked.groupBy(*PAGE, "cluster").agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.max("total").alias("total"))
+    w, page = Window.partitionBy(*PAGE).orderBy("x0"), Window.partitionBy(*PAGE)
+    steps = boxes.select(*PAGE, "x0").withColumn("step", F.col("x0") - F.lag("x0").over(w)).withColumn("at", F.row_number().over(w))
+    eps = F.greatest(F.lit(least_gap), 2 * F.coalesce(F.median("step").over(page), F.lit(0.0)))
+    marked = steps.select("*", eps.alias("eps"), F.count("*").over(page).alias("total"), F.min("x0").over(page).alias("least"))
+    # One sort serves all windows: of each cluster its first row stays, and the next first row tells how many there are.
+    first = marked.filter((F.col("at") == 1) | (F.col("step") > F.col("eps")))
+    n = F.coalesce(F.lead("at").over(w), F.col("total") + 1) - F.col("at")
+    found = first.select(*PAGE, (F.row_number().over(w) - 1).cast("bigint").alias("cluster"), n.alias("n"), F.coalesce("x0", "least").alias("x0"), "total")
     return found.filter(F.col("n") >= share * F.col("total")).drop("total")
 
 

@@ -1,6 +1,8 @@
 """Fixtures for the word lists, page layout, link and breaker operators, with nulls, empty input and ties."""
 
 import datetime as dt
+import random
+import statistics
 
 from pyspark.sql import functions as F
 
@@ -98,3 +100,29 @@ def test_layout_across_pages(spark):
     assert one(spark, layout_pages.page_selected(F.lit(4), "list", [4, 5], [5]), t="") is True
     assert one(spark, layout_pages.column_of(F.lit(100.0), F.lit(120.0), [(0.0, 50.0), (90.0, 200.0)]), t="") == 1
     assert one(spark, layout_pages.column_of(F.lit(60.0), F.lit(62.0), [(0.0, 50.0), (90.0, 200.0)]), t="") == 0
+
+
+def test_edge_clusters_sort_once(spark):
+    """Clusters with ties, nulls, pages of one box and rare ones, by one sort and without a join."""
+    rng = random.Random(5)
+    rows = [(p % 7, p // 7, rng.choice([None, 0, 10, 10, 20, 300, 300, 310, 900, rng.randrange(2000)])) for p in range(40) for _ in range(rng.choice([1, 2, 9, 80]))]
+    pages = {}
+    for d, p, x in rows:
+        pages.setdefault((d, p), []).append(x)
+    want = []
+    for key, xs in pages.items():
+        xs.sort(key=lambda x: (x is not None, x))
+        steps = [None] + [b - a if a is not None else None for a, b in zip(xs, xs[1:])]
+        known = [s for s in steps if s is not None]
+        eps, at, found = max(50, 2 * statistics.median(known) if known else 0), 0, {}
+        for x, s in zip(xs, steps):
+            at += s is not None and s > eps
+            found.setdefault(at, []).append(x)
+        want += [(*key, k, len(v), min((x for x in v if x is not None), default=None)) for k, v in found.items() if len(v) >= 0.03 * len(xs)]
+    frame = spark.createDataFrame(rows, "doc_id long, page_no int, x0 int")
+    got = layout_pages.edge_clusters(frame)
+    assert got.columns == ["doc_id", "page_no", "cluster", "n", "x0"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    plan = got._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")
+    plan = plan[2] or plan[0]
+    assert plan.count("Sort [") == 1 and "Join" not in plan and "Aggregate" not in plan
