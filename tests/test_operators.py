@@ -44,6 +44,30 @@ def test_keep_first_near_is_greedy(spark):
     assert got == kept and len(kept) < len(texts)
 
 
+def test_fingerprints_of_many_texts(spark):
+    rng = random.Random(8)
+    odd = [None, "", "a", "abc", "abcd", "İstanbul ΣΑΣ straße", "日本語のテキスト" * 9, "emoji 😀 𝔸𝔹ℂ𝔻 letters" * 5, "x" * 90_000, "_ - !"]
+    texts = odd + ["".join(rng.choices("abcdé Zz9_.日", k=rng.randrange(2000))) for _ in range(60)]
+    want = [None if t is None else duplicates.fingerprint(t) for t in texts]
+    assert duplicates.fingerprints_of(texts) == want == duplicates.fingerprints_of(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    assert [r.f for r in rows.select("id", duplicates.fingerprints("t").alias("f")).orderBy("id").collect()] == want
+
+
+def test_near_pairs_and_their_candidates(spark):
+    """All pairs are found, and fingerprints that agree in one band alone are no candidates."""
+    rng = random.Random(9)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    values = [rng.getrandbits(42) << 22 | 12345 for _ in range(300)]
+    values += [v ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(5))}) for v in values[:100]]
+    values = sorted({signed(v) for v in values})
+    want = {(a, b) for n, a in enumerate(values) for b in values[n + 1 :] if 0 < bin((a ^ b) & (1 << 64) - 1).count("1") <= 2}
+    frame = spark.createDataFrame([(v,) for v in values], "f long")
+    assert {tuple(r) for r in duplicates.near_pairs(frame, "f").collect()} == want and want
+    candidates = duplicates.near_keys(frame).groupBy("key").count().agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0]
+    assert candidates < 10 * len(want) < 300 * 299 // 2
+
+
 def test_html(spark):
     page = """<html><head><title>T</title><style>p{}</style></head><body><nav class="nav"><a href="/x">skip me</a></nav>
     <h1>Head</h1><p>One <b>two<p>Three<ul><li>item one<li>item two</ul><table><tr><th>a<th>b<tr><td>1<td>2</table>
